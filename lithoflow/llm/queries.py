@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoflow.llm import sentences
+from lithoflow.llm import leakage, sentences
 from lithoflow.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +17,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spread(docs), "doc_id", "text", sentences.fit(docs, "doc_id", "text"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return leakage.find(spread(docs), read(spark, sf_dir, "eval_items"))
+
+
 def all_queries() -> dict[str, Query]:
-    return {"p8_found": p8_found}
+    return {"p7_found": p7_found, "p8_found": p8_found}
 
 
 def all_sql() -> dict[str, str]:
