@@ -125,15 +125,15 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         for k, p in enumerate(part):
             a[: len(pairs[p][0]), k] = pairs[p][0]
             b[: len(pairs[p][1]), k] = pairs[p][1]
-        ramp = (EDIT_COST * np.arange(cols + 1, dtype=np.int16))[:, None]
+        # Runs of missing words, by doubling; longer ones cost more than any score.
+        jumps = [1 << k for k in range(16) if 1 << k <= cols and EDIT_COST << k <= min(rows, cols)]
         above = np.zeros((cols + 1, len(part)), np.int16)
         top = np.zeros(len(part), np.int16)
         for i in range(rows):
             now = np.maximum(above - np.int16(EDIT_COST), 0)
             np.maximum(now[1:], above[:-1] + np.where(b == a[i], np.int16(1), np.int16(-EDIT_COST)), out=now[1:])
-            now += ramp
-            np.maximum.accumulate(now, axis=0, out=now)
-            now -= ramp
+            for g in jumps:
+                now[g:] = np.maximum(now[g:], now[:-g] - np.int16(EDIT_COST * g))
             np.maximum(top, now.max(axis=0), out=top)
             above = now
         best[part] = top
