@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithoflow.llm import characters, leakage, sentences
+from lithoflow.llm import characters, leakage, residue, sentences
 from lithoflow.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split(spread(docs), "doc_id", "text", sentences.fit(docs, "doc_id", "text"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = [("titles", read(spark, sf_dir, "titles"), "title_id", "title"), ("descriptions", read(spark, sf_dir, "descriptions"), "description_id", "description")]
+    return residue.find(sources).select("source_table", "row_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = [("titles", read(spark, sf_dir, "titles"), "title_id", "title"), ("subjects", read(spark, sf_dir, "subjects"), "subject_id", "subject"), ("creators", read(spark, sf_dir, "creators"), "agent_id", "familyname")]
     return characters.find(sources).select("source_table", "row_id")
@@ -28,7 +33,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def all_sql() -> dict[str, str]:
