@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lithoflow.llm import characters, leakage, residue, sentences
+from lithoflow.llm import characters, leakage, names, residue, sentences
 from lithoflow.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,13 +28,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return characters.find(sources).select("source_table", "row_id")
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, name, cluster) of every agent with a name."""
+    parts = [read(spark, sf_dir, t).select(F.col("agent_id").alias("row_id"), "name", F.transform("nameidentifiers", lambda x: x["nameidentifier"]).alias("identifiers")) for t in ("creators", "contributors")]
+    return names.link(parts[0].unionByName(parts[1]))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.pairs(p5_links(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return leakage.find(spread(docs), read(spark, sf_dir, "eval_items"))
 
 
 def all_queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def all_sql() -> dict[str, str]:
