@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoflow.llm import characters, leakage, names, residue, sentences
+from lithoflow.llm import canonical, characters, leakage, names, residue, sentences
 from lithoflow.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find(sources).select("source_table", "row_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = read(spark, sf_dir, "affiliations").select(F.col("affiliation_id").alias("row_id"), F.col("name").alias("value"))
+    roles = read(spark, sf_dir, "contributors").select(F.col("agent_id").alias("row_id"), F.col("contributortype").alias("value"))
+    a = canonical.find(typed, read(spark, sf_dir, "organisations"), "org_id").select(F.lit("affiliation").alias("field"), "row_id", "ref_id")
+    b = canonical.find(roles, read(spark, sf_dir, "contributor_types"), "type_id").select(F.lit("contributor").alias("field"), "row_id", "ref_id")
+    return a.unionByName(b)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = [("titles", read(spark, sf_dir, "titles"), "title_id", "title"), ("subjects", read(spark, sf_dir, "subjects"), "subject_id", "subject"), ("creators", read(spark, sf_dir, "creators"), "agent_id", "familyname")]
     return characters.find(sources).select("source_table", "row_id")
@@ -44,7 +52,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def all_sql() -> dict[str, str]:
