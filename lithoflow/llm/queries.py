@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithoflow.llm import canonical, characters, leakage, names, residue, sentences
-from lithoflow.session import read, spread
+from lithoflow.llm import canonical, characters, leakage, names, packing, residue, sentences
+from lithoflow.session import materialise, read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,13 +46,23 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(p5_links(spark, sf_dir))
 
 
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = materialise(packing.curve(spread(docs), "doc_id", "text"))
+    return packing.pack(placed, read(spark, sf_dir, "capacities"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p6_packing(spark, sf_dir), read(spark, sf_dir, "capacities"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return leakage.find(spread(docs), read(spark, sf_dir, "eval_items"))
 
 
 def all_queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_links": p5_links, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def all_sql() -> dict[str, str]:
