@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -27,9 +28,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back; safe when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df as a table into the shared folder and reads it back; safe when executors are lost.
+
+    A written table cuts the lineage as checkpoint() does, and the optimizer knows its size. The
+    tables of a process are removed when it ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lithoflow-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_remove, spark)
+    _written.append(path)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _remove(spark: SparkSession) -> None:
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _written:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session may be gone; the folder is temporary
+        pass
+    _written.clear()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
