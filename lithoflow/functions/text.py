@@ -15,6 +15,11 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -57,8 +62,8 @@ def words(text: Column) -> Column:
 
 def shingles(tokens: Column, n: int = P.SHINGLE) -> Column:
     """Distinct runs of n words, joined by blanks; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    runs = lambda ts: F.when(F.size(ts) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(ts) - (n - 1)), lambda i: F.array_join(F.slice(ts, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    return let(tokens, runs)
 
 
 def identifiers(text: Column) -> Column:
@@ -126,11 +131,12 @@ def strip_titles(value: Column) -> Column:
 
 def sub_super(value: Column) -> Column:
     """<sub> and <sup> as Unicode characters; where one has none, the text stays and the tags go."""
-    out = value
-    for tag, signs in (("sub", P.SUBSCRIPTS), ("sup", P.SUPERSCRIPTS)):
-        whole = F.array_distinct(F.regexp_extract_all(out, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)))
-        out = F.aggregate(whole, out, lambda a, x, t=tag, s=signs: F.replace(a, F.concat(F.lit(f"<{t}>"), x, F.lit(f"</{t}>")), F.when(F.translate(x, P.SCRIPTED, "").rlike(r"[\p{L}\p{N}]"), x).otherwise(F.translate(x, P.SCRIPTED, s))))
-    return out
+    def convert(text: Column, tag: str, signs: str) -> Column:
+        inner = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1)))
+        small = lambda x: F.when(F.translate(x, P.SCRIPTED, "").rlike(r"[\p{L}\p{N}]"), x).otherwise(F.translate(x, P.SCRIPTED, signs))
+        return F.aggregate(inner, text, lambda a, x: F.replace(a, F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")), small(x)))
+
+    return let(convert(value, "sub", P.SUBSCRIPTS), lambda v: convert(v, "sup", P.SUPERSCRIPTS))
 
 
 def contributor_type(role: Column) -> Column:
@@ -169,12 +175,17 @@ def format_time(seconds: Column) -> Column:
 
 def loop_reason(text: Column) -> Column:
     """Why generated text is taken to run in circles; null if it isn't."""
-    tail = F.right(text, F.lit(P.LOOP_TAIL))
-    blank = (F.length(tail) >= P.LOOP_BLANK) & F.right(tail, F.lit(P.LOOP_BLANK)).rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
     times = lambda p: F.greatest(F.lit(4), F.ceil(F.lit(P.LOOP_CHARS) / p).cast("int"))
-    periods = F.filter(F.sequence(F.lit(P.LOOP_PERIODS[0]), F.lit(P.LOOP_PERIODS[1])), lambda p: (F.length(tail) >= p * times(p)) & (F.right(tail, p * times(p)) == F.repeat(F.right(tail, p), times(p))))
-    unit = F.right(tail, F.get(periods, F.lit(0)))
-    return F.when(blank, F.lit("endless whitespace")).when(F.size(periods) > 0, F.concat(F.lit("repeats: "), F.left(unit, F.lit(P.LOOP_SHOWN))))
+
+    def reason(tail: Column) -> Column:
+        blank = (F.length(tail) >= P.LOOP_BLANK) & F.right(tail, F.lit(P.LOOP_BLANK)).rlike(r"(?U)\A[\s\x1c-\x1f]*\z")
+        # The last characters must stand one period earlier too: that rules out most periods at once.
+        could = lambda p: (F.length(tail) >= p * times(p)) & (F.right(tail, F.lit(8)) == F.substring(tail, F.length(tail) - 7 - p, F.lit(8)))
+        periods = F.filter(F.filter(F.sequence(F.lit(P.LOOP_PERIODS[0]), F.lit(P.LOOP_PERIODS[1])), could), lambda p: F.right(tail, p * times(p)) == F.repeat(F.right(tail, p), times(p)))
+        shortest = let(F.array_min(periods), lambda p: F.when(p.isNotNull(), F.concat(F.lit("repeats: "), F.left(F.right(tail, p), F.lit(P.LOOP_SHOWN)))))
+        return F.when(blank, F.lit("endless whitespace")).otherwise(shortest)
+
+    return let(F.right(text, F.lit(P.LOOP_TAIL)), reason)
 
 
 def markdown_table(rows: Column) -> Column:
@@ -213,14 +224,21 @@ def tokens_in_source(text: Column, source_tokens: Column) -> Column:
 
 def occurrences(text: Column, name: Column) -> Column:
     """0-based places at which ``name`` stands in ``text``, not overlapping; empty for an empty name."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), name, F.lit("\\E")), -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.aggregate(F.slice(parts, 1, k), F.lit(0), lambda a, x: a + F.length(x)) + (k - 1) * F.length(name))
-    return F.when((F.length(name) > 0) & (F.size(parts) > 1), starts).otherwise(F.array().cast("array<int>"))
+    def starts(parts: Column) -> Column:
+        # Running lengths of the parts, one pass.
+        ends = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")), lambda a, x: F.struct((a["at"] + F.length(x) + F.length(name)).alias("at"), F.array_append(a["found"], a["at"] + F.length(x)).alias("found")))["found"]
+        return F.slice(ends, F.lit(1), F.size(parts) - 1)
+
+    split = F.split(text, F.concat(F.lit("\\Q"), name, F.lit("\\E")), -1)
+    return F.when(F.length(name) > 0, let(split, starts)).otherwise(F.array().cast("array<int>"))
 
 
 def near_name(text: Column, name: Column, role: Column, window: int = P.ROLE_WINDOW) -> Column:
     """The role stands within ``window`` characters of the name somewhere in the text."""
-    t = F.lower(F.regexp_replace(strip_script(text), SPACE, " "))
-    n, r = F.lower(F.trim(name)), F.lower(F.trim(role))
-    around = lambda s: F.substring(t, F.greatest(s - window, F.lit(0)) + 1, s + F.length(n) + window - F.greatest(s - window, F.lit(0)))
-    return F.coalesce((F.length(r) > 0) & F.exists(occurrences(t, n), lambda s: contains(around(s), r)), F.lit(False))
+    def near(t: Column) -> Column:
+        n, r = F.lower(F.trim(name)), F.lower(F.trim(role))
+        around = lambda s: F.substring(t, F.greatest(s - window, F.lit(0)) + 1, s + F.length(n) + window - F.greatest(s - window, F.lit(0)))
+        # A role that stands nowhere needs no windows.
+        return (F.length(r) > 0) & contains(t, r) & F.exists(occurrences(t, n), lambda s: contains(around(s), r))
+
+    return F.coalesce(let(F.lower(F.regexp_replace(strip_script(text), SPACE, " ")), near), F.lit(False))

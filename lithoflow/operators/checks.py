@@ -60,10 +60,10 @@ def unknown_identifiers(wide: DataFrame) -> DataFrame:
     kind = wide.schema["record"].dataType
     record = F.col("record").withField("contributors", without_curators(F.col("record.contributors")))
     texts = F.filter(leaves(record, kind, F.lit("")), lambda x: ~x["path"].startswith("publisher."))
-    found = []
-    for name, pattern, group in (("orcid", P.ORCID, 0), ("doi", P.DOI, 0), ("ror", P.ROR, 1)):
-        hits = F.flatten(F.transform(texts, lambda x, p=pattern, g=group, n=name: F.transform(X.extract_all(x["value"], p, g), lambda v: F.struct(x["path"].alias("path"), v.alias("value"), F.lit(n).alias("kind")))))
-        found.append(hits)
+    def hits(name: str, pattern: str, group: int) -> Column:
+        return F.flatten(F.transform(texts, lambda x: F.transform(X.extract_all(x["value"], pattern, group), lambda v: F.struct(x["path"].alias("path"), v.alias("value"), F.lit(name).alias("kind")))))
+
+    found = [hits("orcid", P.ORCID, 0), hits("doi", P.DOI, 0), hits("ror", P.ROR, 1)]
     missing = F.filter(F.concat(*found), lambda x: ~X.contains(F.col("norm0"), X.norm0(x["value"])))
     return _findings(wide, missing, "error", None, "identifier not found in the source document", 1)
 
@@ -89,7 +89,7 @@ def fixed_fields(wide: DataFrame, policy: P.Policy | None = None) -> DataFrame:
 def date_in_source(value: Column, norm0: Column) -> Column:
     """Every part of a date or interval is written in the text in some form."""
     parts = F.filter(F.split(value, "/"), lambda p: p != "")
-    return F.forall(parts, lambda p: F.exists(X.date_forms(p), lambda f: X.contains(norm0, X.norm0(f))))
+    return X.let(norm0, lambda n: F.forall(parts, lambda p: F.exists(X.date_forms(p), lambda f: X.contains(n, X.norm0(f)))))
 
 
 def unknown_dates(wide: DataFrame) -> DataFrame:
@@ -119,8 +119,12 @@ def missing_identifiers(wide: DataFrame) -> DataFrame:
     """Identifiers in the document that the record lacks."""
     kind = wide.schema["record"].dataType
     told = X.norm0(F.array_join(F.transform(leaves(F.col("record"), kind, F.lit("")), lambda x: x["value"]), " "))
-    found = [F.transform(F.array_sort(F.array_distinct(F.transform(X.extract_all(F.coalesce("text", F.lit("")), p), lambda v: F.regexp_replace(v, r"[.,;:)]+$", "")))), lambda v, n=n: F.struct(F.lit("").alias("path"), v.alias("value"), F.lit(f"missing-{n}").alias("kind"))) for n, p in (("orcid", P.ORCID), ("doi", P.DOI))]
-    items = F.filter(F.concat(*found), lambda x: ~X.contains(told, X.norm0(x["value"])))
+    def of(name: str, pattern: str) -> Column:
+        bare = F.transform(X.extract_all(F.coalesce("text", F.lit("")), pattern), lambda v: F.regexp_replace(v, r"[.,;:)]+$", ""))
+        return F.transform(F.array_sort(F.array_distinct(bare)), lambda v: F.struct(F.lit("").alias("path"), v.alias("value"), F.lit(f"missing-{name}").alias("kind")))
+
+    found = [of("orcid", P.ORCID), of("doi", P.DOI)]
+    items = X.let(told, lambda t: F.filter(F.concat(*found), lambda x: ~X.contains(t, X.norm0(x["value"]))))
     return _findings(wide, items, "warning", None, "in the document but not in the record, was it missed?", 7)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +85,26 @@ def match(records: DataFrame, group: str = "doc_id") -> DataFrame:
     """(group, g, o, score, uncertain): exact for up to 2 * EXHAUSTIVE records together, greedy beyond."""
     s = scores(records, group)
     sizes = records.groupBy(group).agg(F.count_if(F.col("side") == "gold").alias("n_g"), F.count_if(F.col("side") == "ours").alias("n_o"), F.sort_array(F.collect_list(F.struct("side", "idx"))).alias("all"))
-    # Only scores travel to Python; a group of any size beyond the exact bound is matched greedily there.
-    joined = s.join(sizes.select(group, "n_g", "n_o"), group)
-    positions = sizes.where(F.col("n_g") + F.col("n_o") <= 2 * P.EXHAUSTIVE).select(group, F.transform(F.filter("all", lambda x: x["side"] == "gold"), lambda x: x["idx"]).alias("gs"), F.transform(F.filter("all", lambda x: x["side"] == "ours"), lambda x: x["idx"]).alias("os"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf[group].iloc[0]
-        got = {(int(g), int(o)): float(v) for g, o, v in zip(pdf["g"], pdf["o"], pdf["score"])}
-        if pdf["gs"].iloc[0] is not None:
-            gs, os_ = [int(x) for x in pdf["gs"].iloc[0]], [int(x) for x in pdf["os"].iloc[0]]
-            pairs = [(gs[i], os_[j]) for i, j in exact([[got.get((g, o), 0.0) for o in os_] for g in gs])]
-        else:
-            pairs = greedy([(v, g, o) for (g, o), v in got.items()])
-        rows = sorted((g, o) for g, o in pairs if got.get((g, o), 0.0) >= P.LEAST_MATCH)
-        return pd.DataFrame({group: [doc] * len(rows), "g": [g for g, _ in rows], "o": [o for _, o in rows]})
-
-    pairs = joined.drop("n_g", "n_o").join(positions, group, "left").groupBy(group).applyInPandas(run, f"`{group}` bigint, g bigint, o bigint")
+    # Only scores travel to Python, as one list per group; a group beyond the exact bound is matched greedily there.
+    lists = s.groupBy(group).agg(F.collect_list(F.struct("g", "o", "score")).alias("ss"))
+    small = F.col("n_g") + F.col("n_o") <= 2 * P.EXHAUSTIVE
+    side = lambda name: F.when(small, F.transform(F.filter("all", lambda x: x["side"] == name), lambda x: x["idx"]))
+    joined = lists.join(sizes, group).select(F.col(group).cast("bigint"), "ss", side("gold").alias("gs"), side("ours").alias("os"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, int]] = []
+            for doc, ss, gs, os_ in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                got = {(x["g"], x["o"]): x["score"] for x in ss}
+                if gs is None:
+                    pairs = greedy([(v, g, o) for (g, o), v in got.items()])
+                else:
+                    pairs = [(gs[i], os_[j]) for i, j in exact([[got.get((g, o), 0.0) for o in os_] for g in gs])]
+                rows += [(doc, g, o) for g, o in sorted(pairs) if got.get((g, o), 0.0) >= P.LEAST_MATCH]
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[group, "g", "o"])
+
+    pairs = joined.mapInArrow(run, f"`{group}` bigint, g bigint, o bigint")
     return uncertain(pairs.join(s, [group, "g", "o"]), s, sizes.select(group, "n_g", "n_o"), group)
 
 

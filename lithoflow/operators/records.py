@@ -152,7 +152,10 @@ def build(verified: DataFrame, texts: DataFrame | None = None, policy: P.Policy
     dates = F.concat(listed(shared["dates"]), listed(sample["dates"]))
     date_notes = F.filter(F.transform(dates, lambda x: F.when(~empty(x["date"]).rlike(r"\d{4}"), F.concat(lit("dropped "), F.coalesce(x["dateType"], lit("date")), lit(" entry without a date: '"), empty(x["date"]), lit("'"))).when(X.iso_date(x["date"]).isNull(), F.concat(lit("date '"), x["date"], lit("' is not ISO 8601 and was not converted, please fix by hand"))).when(X.iso_date(x["date"]) != x["date"], F.concat(lit("converted date '"), x["date"], lit("' to "), X.iso_date(x["date"])))), lambda m: m.isNotNull())
     notes = F.concat(date_notes, F.filter(F.array(F.when(~use | use.isNull(), F.concat(where, lit(": title and abstract taken from the document text (no writing pass)")))), lambda m: m.isNotNull()), F.transform(F.filter(words, lambda k: ~known(k)), lambda k: F.concat(where, lit(": dropped written keyword '"), k, lit("': not in the document"))))
-    built = s.select(key, "sample_idx", plain_record(record).alias("record"), notes.alias("notes")).withColumn("problems", invalid(F.col("record")))
+    from lithoflow.session import materialise
+
+    # Written once: the tests below read every part of the record several times.
+    built = materialise(s.select(key, "sample_idx", plain_record(record).alias("record"), notes.alias("notes"))).withColumn("problems", invalid(F.col("record")))
     # One broken sample rejects its document, as a whole.
     rejected = built.where(F.size("problems") > 0).groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("problems")))).alias("problems"))
     records = built.where(F.size("problems") == 0).join(rejected, key, "left_anti").select(key, "sample_idx", "record")
