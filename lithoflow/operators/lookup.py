@@ -94,6 +94,7 @@ def enrich_people(people: DataFrame, names: DataFrame) -> DataFrame:
 
     Adds changed and differs (the family names are different ones).
     """
+    people = people.select("person_id", "name", "givenname", "familyname", "orcids")
     ids = people.select("person_id", F.posexplode("orcids").alias("pos", "orcid"))
     first = ids.join(names.where(F.col("registered").isNotNull()), "orcid").groupBy("person_id").agg(F.min_by("registered", "pos").alias("r"))
     p = people.join(first, "person_id", "left")
@@ -111,7 +112,8 @@ def enrich_affiliations(affiliations: DataFrame, known: DataFrame) -> DataFrame:
 
     Adds status: kept, matched, unmatched or empty.
     """
-    a = affiliations.join(known.dropDuplicates(["text"]), affiliations["name"] == known["text"], "left")
+    a = affiliations.select("affiliation_id", "name", "affiliationidentifier", "affiliationidentifierscheme")
+    a = a.join(known.select("text", "ror", "label").dropDuplicates(["text"]), F.col("name") == F.col("text"), "left")
     has, blank = empty(F.col("affiliationidentifier")) != "", empty(F.col("name")) == ""
     new = ~has & ~blank & F.col("ror").isNotNull()
     status = F.when(has, "kept").when(blank, "empty").when(F.col("ror").isNotNull(), "matched").otherwise("unmatched")

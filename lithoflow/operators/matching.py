@@ -83,6 +83,7 @@ def greedy(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
 
 def match(records: DataFrame, group: str = "doc_id") -> DataFrame:
     """(group, g, o, score, uncertain): exact for up to 2 * EXHAUSTIVE records together, greedy beyond."""
+    records = records.select(group, "side", "idx", "code", "title", "abstract")
     s = scores(records, group)
     sizes = records.groupBy(group).agg(F.count_if(F.col("side") == "gold").alias("n_g"), F.count_if(F.col("side") == "ours").alias("n_o"), F.sort_array(F.collect_list(F.struct("side", "idx"))).alias("all"))
     # Only scores travel to Python, as one list per group; a group beyond the exact bound is matched greedily there.

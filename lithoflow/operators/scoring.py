@@ -40,7 +40,7 @@ def source(text: Column) -> dict[str, Column]:
 
 def record_checks(pairs: DataFrame, draft: bool = False) -> DataFrame:
     """(doc_id, sample, category, field, passed, expected, got) of each pair."""
-    p = pairs.withColumns(source(empty(F.col("text")))).withColumns({"t_ratio": Y.sequence_ratio(X.norm(Y.nfkc(title(F.col("g")))), X.norm(Y.nfkc(title(F.col("o"))))), "a_ratio": Y.sequence_ratio(X.norm(Y.nfkc(abstract(F.col("g")))), X.norm(Y.nfkc(abstract(F.col("o")))))})
+    p = pairs.select("doc_id", "label", "g", "o", "text").withColumns(source(empty(F.col("text")))).withColumns({"t_ratio": Y.sequence_ratio(X.norm(Y.nfkc(title(F.col("g")))), X.norm(Y.nfkc(title(F.col("o"))))), "a_ratio": Y.sequence_ratio(X.norm(Y.nfkc(abstract(F.col("g")))), X.norm(Y.nfkc(abstract(F.col("o")))))})
     g, o, flat = F.col("g"), F.col("o"), X.flat
     has = lambda v: (flat(v) != "") & X.contains(F.col("s_flat"), flat(v))
     where = lambda v: F.when(has(v), "document").otherwise("curator")

@@ -360,7 +360,7 @@ def _sides(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    """The sides by the sender's desk of the document, which groups more records than one document."""
+    """The sides by batches of five documents, so that groups hold several records on both sides."""
     d = read(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 5).alias("batch"))
     return _sides(spark, sf).join(d, "doc_id").drop("doc_id").withColumnRenamed("batch", "doc_id")
 
@@ -511,7 +511,7 @@ def words_outside_tables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("doc_id", "page", "line_no").orderBy("x0", "n")
+    w = Window.partitionBy("doc_id", "page", "line_no").orderBy("x0", "n", "text")
     return _boxes(spark, sf).withColumn("word_no", F.row_number().over(w))
 
 

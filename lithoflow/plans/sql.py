@@ -90,6 +90,7 @@ def all_sql() -> dict[str, str]:
         "json_walk": "SELECT event_id, u.k AS path, json_extract_string(props, '$.' || u.k) AS value FROM events, unnest(json_keys(props)) AS u(k)",
         "contributor_type": f"SELECT agent_id, {_ROLE} AS kind FROM contributors",
         "sub_super_plain": "SELECT DISTINCT title_id, translate(title, '0123456789', '₀₁₂₃₄₅₆₇₈₉') AS plain FROM titles WHERE title IS NOT NULL",
+        "iso_dates": f"WITH {DOCS}, r AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\d{{1,2}}\\.? (?:{'|'.join(P.MONTH_NAMES)}) \\d{{4}}|(?:{'|'.join(P.MONTH_NAMES)}) \\d{{1,2}}, \\d{{4}}|\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}')) AS raw FROM docs), p AS (SELECT *, CASE WHEN regexp_full_match(raw, '[\\d.]+') THEN raw ELSE regexp_replace(regexp_replace(raw, '^([A-Za-z]+) (\\d+), (\\d+)$', '\\2 \\1 \\3'), '[.]', '') END AS v FROM r) SELECT doc_id, raw, strftime(coalesce(try_strptime(v, '%d.%m.%Y'), try_strptime(v, '%d %B %Y')), '%Y-%m-%d') AS iso FROM p",
         "bare_doi": "SELECT delivery_id, trim(coalesce(doi, '')) AS bare FROM records",
         "publication_year": f"WITH {DOCS}, t AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Additional information: published in print, 2019' ELSE '' END AS t FROM docs) SELECT doc_id, coalesce(nullif(regexp_extract(CASE WHEN instr(t, 'Additional information') > 0 THEN t[instr(t, 'Additional information') + 22:] ELSE '' END, '(?i)publi[\\p{{L}}\\p{{N}}_]*[^.\\n]{{0,80}}?\\b((?:19|20)\\d{{2}})\\b', 1), ''), '2026') AS year FROM t",
         "format_time": "WITH o AS (SELECT o_orderkey, o_custkey * 7 AS s FROM orders WHERE o_orderkey IS NOT NULL) SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.2fs', CAST(s AS DOUBLE)) WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS t FROM o",
@@ -102,7 +103,7 @@ def all_sql() -> dict[str, str]:
         "style_examples": "WITH e(pos, block, src) AS (VALUES (0, 'Title: Basalt core' || chr(10) || 'Abstract: A core.', ['desk-01']), (1, 'Title: Gypsum rod' || chr(10) || 'Abstract: A rod.', []), (2, 'Title: Peat disc' || chr(10) || 'Abstract: A disc.', ['desk-02', 'desk-03']), (3, 'Title: Zirconia foil' || chr(10) || 'Abstract: A foil.', []), (4, 'Title: Titania wafer' || chr(10) || 'Abstract: A wafer.', []), (5, 'Title: Olivine slab' || chr(10) || 'Abstract: A slab.', ['desk-01'])), d AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), r AS (SELECT source, pos, block, row_number() OVER (PARTITION BY source ORDER BY pos) AS k FROM d, e WHERE NOT list_contains(src, source)) SELECT source, string_agg(block, chr(10) || chr(10) ORDER BY pos) AS block FROM r WHERE k <= 4 GROUP BY 1",
         "words_outside_tables": f"WITH {_BOXES} SELECT doc_id, n, replace(text, '(cid:7)', '') AS text FROM boxes WHERE NOT ((x0 + x1) / 2 BETWEEN 100 AND 220 AND top + size / 2 BETWEEN 0 AND 20)",
         "script_words": f"WITH {_BOXES}, b AS (SELECT *, count(*) FILTER (kind = 'text') OVER w AS nt, quantile_cont(size, 0.5) FILTER (kind = 'text') OVER w AS base FROM boxes WINDOW w AS (PARTITION BY doc_id, line_no)), f AS (SELECT *, quantile_cont(top + size, 0.5) FILTER (kind = 'text' AND size >= 0.85 * base) OVER (PARTITION BY doc_id, line_no) AS floor FROM b), s AS (SELECT doc_id, n, CASE WHEN top + size < floor - 0.15 * base THEN 'sup' WHEN top + size > floor + 0.15 * base THEN 'sub' END AS kind FROM f WHERE kind = 'text' AND nt >= 2 AND size < 0.85 * base) SELECT * FROM s WHERE kind IS NOT NULL",
-        "rendered_lines": f"WITH {_BOXES}, g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY x0, n) AS k FROM boxes), p AS (SELECT *, lag(x1) OVER w AS px, lag(size) OVER w AS ps, lag(kind) OVER w AS pk FROM g WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY k)) SELECT doc_id, line_no, string_agg(CASE WHEN px IS NOT NULL AND (x0 - px > 0.15 * least(ps, size) OR kind = 'field' OR pk = 'field') THEN ' ' ELSE '' END || text, '' ORDER BY k) AS text FROM p GROUP BY 1, 2",
+        "rendered_lines": f"WITH {_BOXES}, g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY x0, n, text) AS k FROM boxes), p AS (SELECT *, lag(x1) OVER w AS px, lag(size) OVER w AS ps, lag(kind) OVER w AS pk FROM g WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY k)) SELECT doc_id, line_no, string_agg(CASE WHEN px IS NOT NULL AND (x0 - px > 0.15 * least(ps, size) OR kind = 'field' OR pk = 'field') THEN ' ' ELSE '' END || text, '' ORDER BY k) AS text FROM p GROUP BY 1, 2",
         "page_quality": "WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, CAST(l_quantity AS INT) / 100.0 > 0.3 AS bad, l_partkey % 40 < 20 AS short FROM lineitem) SELECT doc_id, coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (bad), '') AS unreadable, coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (NOT bad AND short), '') AS empty, bool_and(bad OR short) AS fatal FROM p GROUP BY 1",
         "links_section": f"WITH {LAST}, {DOCS}, {ORCIDS}, u AS (SELECT doc_id, 'https://orcid.org/' || orcid AS uri, min(agent_id) AS k FROM owned GROUP BY ALL), h AS (SELECT u.*, CASE WHEN k % 2 = 0 THEN '- author → ' ELSE '- ' END || uri AS line FROM u JOIN docs d USING (doc_id) WHERE NOT contains({norm0('d.text')}, {norm0('u.uri')})) SELECT doc_id, '## Links in the document' || chr(10) || string_agg(line, chr(10) ORDER BY k, line) AS section FROM h GROUP BY 1",
         "lost_identifiers": f"WITH {DOCS}, {IDENTIFIERS}, t AS (SELECT doc_id, {norm0(strip('text[1:length(text) // 2]'))} AS t FROM docs) SELECT doc_id, string_agg(identifier, ',' ORDER BY identifier) AS lost FROM ids JOIN t USING (doc_id) WHERE NOT contains(t, {norm0('identifier')}) GROUP BY 1",

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,7 +58,25 @@ def _remove(spark: SparkSession) -> None:
     _written.clear()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's sources to the executors, once per context, wherever it was imported from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lithoflow_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="lithoflow-"), "lithoflow_sources.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("lithoflow", os.path.relpath(path, root)))
+    sc.addPyFile(at)
+    sc._lithoflow_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
