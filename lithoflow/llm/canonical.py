@@ -288,6 +288,7 @@ def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
 
 def find(rows: DataFrame, reference: DataFrame, key: str, label: str = "label", aliases: str = "aliases") -> DataFrame:
     """(row_id, value, ref_id) of the rows (row_id, value) whose value is not a label itself."""
+    rows = rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.col("value").cast("string").alias("value"))
     labels = reference.select(F.col(label).alias("value")).distinct()
     kept = rows.where(F.col("value").rlike(r"(?U)[^\s\x1c-\x1f]")).join(labels, "value", "left_anti")
     distinct = kept.select("value").distinct()
