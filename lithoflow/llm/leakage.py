@@ -176,7 +176,13 @@ def _leaks(parts: list[np.ndarray], owners: list[int], index: Index, out: list[l
     doc = np.searchsorted(begin, met[:, 0], "right") - 1
     # One region to verify for meetings that lie close together; of each document and item the region
     # with the most meetings comes first, the others only where that one fails.
-    spots, meetings = np.unique(np.column_stack([doc, met[:, 1], met[:, 0] // STEP, (met[:, 0] - met[:, 2]) // STEP]), axis=0, return_counts=True)
+    place, diagonal = met[:, 0] // STEP, (met[:, 0] - met[:, 2]) // STEP
+    low = int(diagonal.min())
+    n_place, n_diagonal = int(place.max()) + 1, int(diagonal.max()) - low + 1
+    codes, meetings = np.unique(((doc * len(index.items) + met[:, 1]) * n_place + place) * n_diagonal + diagonal - low, return_counts=True)
+    rest, d = np.divmod(codes, n_diagonal)
+    rest, p = np.divmod(rest, n_place)
+    spots = np.column_stack([*np.divmod(rest, len(index.items)), p, d + low])
     order = np.lexsort((-meetings, spots[:, 1], spots[:, 0]))
     spots = spots[order]
     head = np.ones(len(spots), bool)
