@@ -35,6 +35,7 @@ def materialise(df: DataFrame) -> DataFrame:
     tables of a process are removed when it ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_dir(spark).rstrip('/')}/lithoflow-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove, spark)
