@@ -125,3 +125,54 @@ def status(answers: DataFrame) -> DataFrame:
     ranked = answers.where(F.col("error").isNotNull()).select("error").distinct().orderBy("error").limit(5)
     counts = answers.agg(F.count_if(F.col("payload").isNotNull()).alias("answered"), F.count_if(F.col("error").isNotNull()).alias("failed"))
     return counts.crossJoin(F.broadcast(ranked.agg(F.array_sort(F.collect_list("error")).alias("errors"))))  # one row each
+
+
+def enrich_records(records: DataFrame, names: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, changes, findings) with registered names and organisation identifiers put in.
+
+    records: (doc_id, sample_idx, record); names: (orcid, registered STRUCT<given, family>); known:
+    (text, ror, label). Data curators stay as they are. People and their affiliations are exploded as
+    narrow rows, joined, and laid back into their places by position; the records' other parts and
+    texts don't travel. Each message comes once per document.
+    """
+    from lithoflow import policy as P
+
+    place = ["doc_id", "sample_idx", "role", "pos"]
+    rows = None
+    for role in ("creators", "contributors"):
+        part = records.select("doc_id", "sample_idx", F.lit(role).alias("role"), F.posexplode(listed(F.col(f"record.{role}"))).alias("pos", "p"))
+        kind = F.coalesce(F.col("p.contributorType"), F.lit("")) if role == "contributors" else F.lit("")
+        part = part.where(kind != "DataCurator").select(*place, "p.name", "p.givenName", "p.familyName", "p.nameIdentifiers", "p.affiliation")
+        rows = part if rows is None else rows.unionByName(part)
+    rows = materialise(rows.withColumn("person_id", F.xxhash64(*place)))
+    orcids = F.transform(listed(F.col("nameIdentifiers")), lambda i: F.regexp_extract(empty(i["nameIdentifier"]), P.ORCID, 0))
+    people = enrich_people(rows.select("person_id", "name", F.col("givenName").alias("givenname"), F.col("familyName").alias("familyname"), orcids.alias("orcids")), names)
+    a = rows.select("person_id", F.posexplode(listed(F.col("affiliation"))).alias("k", "a"))
+    placed = enrich_affiliations(a.select(F.struct("person_id", "k").alias("affiliation_id"), "a.name", F.col("a.affiliationIdentifier").alias("affiliationidentifier"), F.col("a.affiliationIdentifierScheme").alias("affiliationidentifierscheme")), known)
+    placed = materialise(placed.join(a.select(F.struct("person_id", "k").alias("affiliation_id"), F.col("a.name").alias("text"), F.col("a.schemeURI").alias("uri")), "affiliation_id"))
+    ror = F.col("status") == "matched"
+    entry = F.struct("name", F.col("affiliationidentifier").alias("affiliationIdentifier"), F.col("affiliationidentifierscheme").alias("affiliationIdentifierScheme"), F.when(ror, F.lit("https://ror.org/")).otherwise(F.col("uri")).alias("schemeURI"))
+    lists = placed.groupBy(F.col("affiliation_id.person_id").alias("person_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("affiliation_id.k").alias("k"), entry.alias("e")))), lambda x: x["e"]).alias("places"))
+    done = materialise(rows.select(*place, "person_id", F.col("name").alias("before")).join(people, "person_id").join(lists, "person_id", "left"))
+
+    new = F.struct("pos", "name", F.col("givenname").alias("givenName"), F.col("familyname").alias("familyName"), "places")
+    by_role = done.groupBy("doc_id", "sample_idx").agg(*[F.collect_list(F.when(F.col("role") == r, new)).alias(f"new_{r}") for r in ("creators", "contributors")])
+    out = records.join(by_role, ["doc_id", "sample_idx"], "left")
+    def laid(role: str) -> Column:
+        def put(p: Column, i: Column) -> Column:
+            hit = F.get(F.filter(listed(F.col(f"new_{role}")), lambda n: n["pos"] == i), F.lit(0))
+            changed = p.withField("name", hit["name"]).withField("givenName", hit["givenName"]).withField("familyName", hit["familyName"]).withField("affiliation", F.coalesce(hit["places"], p["affiliation"]))
+            return F.when(hit.isNotNull(), changed).otherwise(p)
+
+        return F.transform(F.col(f"record.{role}"), put)
+
+    for role in ("creators", "contributors"):
+        out = out.withColumn("record", F.col("record").withField(role, laid(role)))
+    told = done.where("changed").select("doc_id", F.concat(empty(F.col("before")), F.lit(" -> "), "name", F.lit(" (ORCID record)")).alias("message"))
+    owner = done.select("person_id", "doc_id")
+    of = placed.select(F.col("affiliation_id.person_id").alias("person_id"), "status", "text", "name", "affiliationidentifier").join(owner, "person_id")
+    told = told.unionByName(of.where("status = 'matched'").select("doc_id", F.concat(F.lit("affiliation '"), "text", F.lit("' -> "), "name", F.lit(" ("), "affiliationidentifier", F.lit(")")).alias("message")))
+    told = told.unionByName(of.where("status = 'unmatched'").select("doc_id", F.concat(F.lit("no unambiguous ROR match for affiliation '"), "text", F.lit("'")).alias("message")))
+    findings = done.where("differs").select("doc_id", "sample_idx", F.lit("warning").alias("severity"), F.lit("orcid-name").alias("kind"), F.concat("role", F.lit("["), F.col("pos").cast("string"), F.lit("].name")).alias("path"), F.concat(empty(F.col("before")), F.lit(" -> "), "name").alias("value"), F.lit("family name in the document differs from the ORCID record, please check").alias("message"))
+    return out.select(*records.columns), told.distinct(), findings
+

@@ -165,3 +165,12 @@ def failures(checks: DataFrame, most: int | None = 12) -> DataFrame:
         return failed
     w = Window.partitionBy("doc_id").orderBy("category", "field", "sample")
     return failed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+
+
+def report(summaries: DataFrame, checks: DataFrame, run: dict[str, str]) -> DataFrame:
+    """(doc_id, json): scores, per-field counts and failures of a document with the run's settings."""
+    groups = by_group(checks).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("/", "category", "field_group"), F.concat_ws("/", F.col("passed").cast("string"), F.col("total").cast("string")))))).alias("by_field"))
+    failed = failures(checks, None).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("category", "field", "sample", "expected", "got"))).alias("failed"))
+    settings = F.create_map(*[F.lit(x) for kv in sorted(run.items()) for x in kv])
+    d = summaries.join(groups, "doc_id", "left").join(failed, "doc_id", "left")
+    return d.select("doc_id", F.to_json(F.struct(*[c for c in d.columns if c != "doc_id"], settings.alias("run"))).alias("json"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from lithoflow import policy as P
 from lithoflow import schemas as S
-from lithoflow.operators import checks, model_calls, records, verify
+from lithoflow.functions import python as Y
+from lithoflow.operators import checks, lookup, matching, model_calls, records, scoring, verify
 from lithoflow.session import materialise
 
 
@@ -47,3 +48,33 @@ def run(docs: DataFrame, cache: DataFrame, extraction_template: str, model: Call
     noted = verified.select("doc_id", F.posexplode("changes").alias("seq", "message")).select("doc_id", F.lit(-2).alias("sample_idx"), "seq", "message")
     findings = checks.check_all(recs, verify.prepare(docs), texts, policy)
     return Result(recs, rejected, noted.unionByName(changes.select("doc_id", "sample_idx", "seq", "message")), findings, parsed.select("id", "cached", "error"))
+
+
+def enrich(result: Result, people: DataFrame, organisations: DataFrame) -> Result:
+    """The result with registered names and identifiers in its records; its checks stay as they were, as
+    registry data isn't in the documents. people: (orcid, registered); organisations: (text, ror, label)."""
+    recs, said, found = lookup.enrich_records(result.records, people, organisations)
+    numbered = found.withColumn("finding_no", F.lit(None).cast("int"))
+    findings = result.findings.select("doc_id", "sample_idx", "severity", "kind", "path", "value", "message", "finding_no").unionByName(numbered)
+    changes = result.changes.unionByName(said.select("doc_id", F.lit(None).cast("int").alias("sample_idx"), F.lit(None).cast("int").alias("seq"), "message"))
+    return Result(materialise(recs), result.rejected, changes, findings, result.answers)
+
+
+def evaluate(ours: DataFrame, gold: DataFrame, docs: DataFrame, draft: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(checks, summaries) of generated against curated records, both (doc_id, sample_idx, record).
+
+    Only documents with curated records are scored; records are paired within their document.
+    """
+    ours = ours.join(gold.select("doc_id").distinct(), "doc_id", "left_semi")
+    flat = lambda df, side: df.select("doc_id", F.lit(side).alias("side"), F.col("sample_idx").cast("bigint").alias("idx"), scoring.code(F.col("record")).alias("code"), Y.nfkc(scoring.title(F.col("record"))).alias("title"), Y.nfkc(scoring.abstract(F.col("record"))).alias("abstract"))
+    sides = materialise(flat(gold, "gold").unionByName(flat(ours, "ours")))
+    pairs = materialise(matching.match(sides))
+    label = F.left(F.coalesce(F.nullif("code", F.lit("")), "title"), F.lit(P.OTHER_CHARS))
+    sizes = sides.groupBy("doc_id").agg(F.count_if(F.col("side") == "gold").alias("n_g"), F.count_if(F.col("side") == "ours").alias("n_o"))
+    labels = lambda side: sides.where(F.col("side") == side).select("doc_id", "idx", label.alias("label"))
+    wide = pairs.join(labels("gold").withColumnRenamed("idx", "g"), ["doc_id", "g"])
+    wide = wide.join(gold.select("doc_id", F.col("sample_idx").cast("bigint").alias("g"), F.col("record").alias("gr")), ["doc_id", "g"]).join(ours.select("doc_id", F.col("sample_idx").cast("bigint").alias("o"), F.col("record").alias("our")), ["doc_id", "o"])
+    wide = wide.select("doc_id", "label", F.col("gr").alias("g"), F.col("our").alias("o")).join(docs.select("doc_id", "text"), "doc_id", "left")
+    checks_ = scoring.record_checks(wide, draft)
+    checks_ = materialise(checks_.unionByName(scoring.document_checks(sizes, pairs, labels("gold"), labels("ours"), draft).select(checks_.columns)))
+    return checks_, scoring.summarize(checks_)

@@ -340,6 +340,16 @@ def enriched_people(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.enrich_people(people, names)
 
 
+@query
+def enriched_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested records with the organisations' identifiers and the names under which identifiers are registered."""
+    o = read(spark, sf, "organisations")
+    known = o.select(F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"), "ror", "label")
+    none = spark.createDataFrame([], "orcid string, registered struct<given:string,family:string>")
+    out, _, _ = lookup.enrich_records(materialise(_nested(spark, sf)).select("doc_id", F.col("record_id").cast("int").alias("sample_idx"), "record"), none, known)
+    return out.select("doc_id", "sample_idx", F.to_json("record").alias("record"))
+
+
 @query
 def late_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents per day of arrival and source."""

@@ -131,6 +131,8 @@ def test_scoring(spark):
     assert s["skipped"] == 1 and s["policy_passed"] == 1 and s["policy_total"] == 2
     assert scoring.overall(scoring.summarize(scoring.record_checks(df))).first()["total"] == s["document_total"]
     assert scoring.failures(scoring.record_checks(df), 2).count() == 2
+    report = json.loads(scoring.report(scoring.summarize(scoring.record_checks(df)), scoring.record_checks(df), {"model": "m"}).first()["json"])
+    assert report["by_field"]["policy/publisher"] == "0/1" and report["run"] == {"model": "m"} and report["failed"]
 
 
 def test_document_checks(spark):
@@ -178,6 +180,22 @@ def test_enriching(spark):
     assert got == {1: ("Rossi, Eva", True, False), 2: ("Rossi, Eva", True, True), 3: ("Solo", False, False), 4: (None, False, False)}
 
 
+def test_enriched_records(spark):
+    record = {"doi": "d", "creators": [{"name": "Rossi, E.", "familyName": "Rossi", "givenName": "E.", "nameIdentifiers": [{"nameIdentifier": "https://orcid.org/0000-0002-0000-0015"}], "affiliation": [{"name": "Inst A"}, {"name": "Unknown"}, {"name": "Has", "affiliationIdentifier": "x"}]}, {"name": "Solo, S"}], "contributors": [{"name": "C, C", "contributorType": "DataCurator", "affiliation": [{"name": "Inst A"}]}, {"name": "D, D", "contributorType": "Other", "affiliation": [{"name": "Inst A"}]}]}
+    recs = spark.createDataFrame([(1, 0, json.dumps(record)), (1, 1, json.dumps(record)), (2, 0, "{}")], "doc_id bigint, sample_idx int, j string").select("doc_id", "sample_idx", F.from_json("j", S.RECORD).alias("record"))
+    names = spark.createDataFrame([("0000-0002-0000-0015", ("EVA", "BIANCHI"))], "orcid string, registered struct<given:string,family:string>")
+    known = spark.createDataFrame([("Inst A", "https://ror.org/1", "Institute A")], "text string, ror string, label string")
+    out, changes, findings = lookup.enrich_records(recs, names, known)
+    got = {(r["doc_id"], r["sample_idx"]): r["record"] for r in out.collect()}
+    assert got[1, 0] == got[1, 1] and got[2, 0]["creators"] is None
+    r = got[1, 0]
+    assert [c["name"] for c in r["creators"]] == ["Bianchi, Eva", "Solo, S"] and [a["name"] for a in r["creators"][0]["affiliation"]] == ["Institute A", "Unknown", "Has"]
+    assert r["creators"][0]["affiliation"][0]["affiliationIdentifier"] == "https://ror.org/1" and r["creators"][0]["affiliation"][2]["affiliationIdentifier"] == "x"
+    assert [c["affiliation"][0]["name"] for c in r["contributors"]] == ["Inst A", "Institute A"] and r["doi"] == "d"
+    assert sorted(c["message"] for c in changes.collect()) == ["Rossi, E. -> Bianchi, Eva (ORCID record)", "affiliation 'Inst A' -> Institute A (https://ror.org/1)", "no unambiguous ROR match for affiliation 'Unknown'"]
+    assert {(f["sample_idx"], f["path"]) for f in findings.collect()} == {(0, "creators[0].name"), (1, "creators[0].name")}
+
+
 def test_model_calls(spark):
     def bad_model(prompt):
         if "fail" in prompt:

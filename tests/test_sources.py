@@ -129,6 +129,26 @@ def test_pipeline(spark):
     assert any("invented" in c["message"] for c in r.changes.collect())
     assert {x["id"]: x["error"] for x in r.answers.collect()}["2"] == "answer is not JSON"
 
+    people = spark.createDataFrame([], "orcid string, registered struct<given:string,family:string>")
+    places = spark.createDataFrame([], "text string, ror string, label string")
+    e = pipeline.enrich(r, people, places)
+    assert e.records.count() == 2 and e.findings.count() == r.findings.count()
+    gold = e.records.where("sample_idx = 0").withColumn("sample_idx", F.lit(5))
+    checks, summaries = pipeline.evaluate(e.records, gold, docs)
+    fields = {c["field"]: c["passed"] for c in checks.collect()}
+    assert fields["sample count"] is False and fields["sample expected"] is False and fields["creator Example, Anna: present"] is True
+    assert summaries.first()["title_similarity"] == 1.0
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from lithoflow.__main__ import main
+
+    assert main(["names"]) == 0 and "copy_ratio" in capsys.readouterr().out
+    assert main(["query", "safe_name", sf, "--rows", "2"]) == 0
+    (tmp_path / "a.docx").write_bytes(document(BODY))
+    (tmp_path / "b.odt").write_bytes(b"x")
+    assert main(["preview", str(tmp_path)]) == 0
+
 
 def test_streams(spark, tmp_path):
     from lithoflow.streaming import loops
