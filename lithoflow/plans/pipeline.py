@@ -27,9 +27,10 @@ class Result:
 def run(docs: DataFrame, cache: DataFrame, extraction_template: str, model: Callable[[str], str] | None = None, writing_template: str | None = None, policy: P.Policy | None = None) -> Result:
     """docs: (doc_id, text). Two passes of the model, both answered from ``cache`` where it knows the prompt.
 
-    A document without a usable first answer gives no records; a sample without a second one falls
+    Documents without text are left out; one without a usable first answer gives no records; a sample without a second one falls
     back on copied text. Each stage is written once, as several later stages read it.
     """
+    docs = docs.where(F.col("text").rlike(r"(?U)[^\s]"))
     prompts = docs.select(F.col("doc_id").cast("string").alias("id"), model_calls.extraction_prompt(F.col("text"), extraction_template).alias("prompt"))
     answers, _ = model_calls.answer(prompts, cache, model)
     parsed = model_calls.parse(answers, S.EXTRACTION)
