@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 
 from lithoflow import policy as P
 from lithoflow.functions import text as X
+from lithoflow.session import materialise
+
+#: Scored pairs of a group that may be one task's list.
+LIST_PAIRS = 100_000
 
 TERM = r"[a-z]+\d*|\d+(?:\.\d+)?"
 
@@ -81,13 +85,30 @@ def greedy(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def dominant(s: DataFrame, group: str = "doc_id") -> DataFrame:
+    """greedy() for groups of any size: in each round the pairs that are the best of both their records
+    are taken and their records leave, which gives the pairs that one sorted pass would."""
+    out, left = None, s
+    while True:
+        best = lambda side: left.groupBy(group, side).agg(F.max(F.struct("score", "g", "o")).alias("b")).select(group, "b.g", "b.o")
+        part = materialise(best("g").join(best("o"), [group, "g", "o"]))
+        out = part if out is None else out.unionByName(part)
+        left = materialise(left.join(part.select(group, "g"), [group, "g"], "left_anti").join(part.select(group, "o"), [group, "o"], "left_anti"))
+        if left.isEmpty():
+            return out
+
+
 def match(records: DataFrame, group: str = "doc_id") -> DataFrame:
     """(group, g, o, score, uncertain): exact for up to 2 * EXHAUSTIVE records together, greedy beyond."""
     records = records.select(group, "side", "idx", "code", "title", "abstract")
     s = scores(records, group)
     sizes = records.groupBy(group).agg(F.count_if(F.col("side") == "gold").alias("n_g"), F.count_if(F.col("side") == "ours").alias("n_o"), F.sort_array(F.collect_list(F.struct("side", "idx"))).alias("all"))
-    # Only scores travel to Python, as one list per group; a group beyond the exact bound is matched greedily there.
-    lists = s.groupBy(group).agg(F.collect_list(F.struct("g", "o", "score")).alias("ss"))
+    # Only scores travel to Python, as one list per group; a group beyond the exact bound is matched greedily
+    # there, or, where its list would be too long for one task, in rounds over the table.
+    s = materialise(s)
+    counts = s.groupBy(group).agg(F.count("*").alias("n"))
+    large = materialise(counts.where(F.col("n") > LIST_PAIRS).join(sizes, group).where(F.col("n_g") + F.col("n_o") > 2 * P.EXHAUSTIVE).select(group))
+    lists = s.join(large, group, "left_anti").groupBy(group).agg(F.collect_list(F.struct("g", "o", "score")).alias("ss"))
     small = F.col("n_g") + F.col("n_o") <= 2 * P.EXHAUSTIVE
     side = lambda name: F.when(small, F.transform(F.filter("all", lambda x: x["side"] == name), lambda x: x["idx"]))
     joined = lists.join(sizes, group).select(F.col(group).cast("bigint"), "ss", side("gold").alias("gs"), side("ours").alias("os"))
@@ -106,6 +127,8 @@ def match(records: DataFrame, group: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[group, "g", "o"])
 
     pairs = joined.mapInArrow(run, f"`{group}` bigint, g bigint, o bigint")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(dominant(s.join(large, group, "left_semi").where(F.col("score") >= P.LEAST_MATCH), group))
     return uncertain(pairs.join(s, [group, "g", "o"]), s, sizes.select(group, "n_g", "n_o"), group)
 
 

@@ -119,6 +119,17 @@ def test_greedy_beyond_the_exact_bound(spark):
     assert {(r["g"], r["o"]) for r in got.collect()} == {(i, i) for i in range(9)}
 
 
+def test_rounds_give_the_greedy_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    scores = {(g, o): rng.choice([0.2, 0.4, 0.4, 0.9]) for g in range(12) for o in range(12) if rng.random() < 0.6}
+    df = spark.createDataFrame([(1, g, o, v) for (g, o), v in scores.items()], "doc_id bigint, g bigint, o bigint, score double")
+    assert {(r["g"], r["o"]) for r in matching.dominant(df).collect()} == set(matching.greedy([(v, g, o) for (g, o), v in scores.items()]))
+    monkeypatch.setattr(matching, "LIST_PAIRS", 3)
+    rows = [(d, side, i, "", f"word{i} rod", "") for d in (1, 2) for side in ("gold", "ours") for i in range(9 if d == 1 else 2)]
+    got = matching.match(spark.createDataFrame(rows, "doc_id bigint, side string, idx bigint, code string, title string, abstract string"))
+    assert {(r["doc_id"], r["g"], r["o"]) for r in got.collect()} == {(1, i, i) for i in range(9)} | {(2, 0, 0), (2, 1, 1)}
+
+
 def test_scoring(spark):
     g = {"titles": [{"title": "A rod", "lang": "en"}, {"title": "S-1", "titleType": "AlternativeTitle"}], "creators": [{"name": "Example, Anna", "familyName": "Example", "givenName": "Anna", "nameIdentifiers": [{"nameIdentifier": "https://orcid.org/0000-0002-0000-0015"}], "affiliation": [{"name": "Inst. A"}]}, {"name": "Lost, L"}], "dates": [{"date": "2026-05-05", "dateType": "Created"}, {"date": "???", "dateType": "Issued"}], "subjects": [{"subject": "cobalt"}], "descriptions": [{"description": "Mass 12.5 mg", "descriptionType": "Abstract"}], "publisher": {"name": "P"}, "types": {"resourceType": "T"}}
     o = g | {"creators": [{"name": "Example, Anna", "familyName": "EXAMPLE", "givenName": "Anne", "affiliation": [{"name": "Inst. A, City"}]}], "publisher": {"name": "Q"}, "dates": [{"date": "2026-05-05", "dateType": "Created"}, {"date": "2027", "dateType": "Valid"}]}
