@@ -158,7 +158,7 @@ def plain_forms(values: DataFrame) -> DataFrame:
         "own_g": proper("g", "latin"),
         "next_c": F.lead("c").over(w_order),
         "first_in_word": F.row_number().over(w_order) - F.max(F.when(part_of_word, 0).otherwise(1)).over(in_word) == 1,
-        "rest": F.array_join(F.collect_list("c").over(w_order.rowsBetween(1, Window.unboundedFollowing)), ""),
+        "rest": F.concat_ws("", *[F.lead("c", k).over(w_order) for k in range(1, 5)]),  # units have three letters at most
     })
     target = (
         F.when(F.col("own_l") + F.col("own_c") + F.col("own_g") == 1, F.when(F.col("own_l") == 1, "l").when(F.col("own_c") == 1, "c").otherwise("g"))
