@@ -129,14 +129,16 @@ def plain_forms(values: DataFrame) -> DataFrame:
     ccc = _frame(spark, marks, "c string, ccc int")
     alike = _frame(spark, _lookalikes(), "c string, latin string, cyrillic string, greek string")
     odd = values.where(F.col("value").rlike(r"[^ -~]") & ~F.col("value").rlike(r"(?U)^[\s\x1c-\x1f]*$"))
-    by_value = Window.partitionBy("value")
+    # Code points carry 128 bits of their value's hash, not the value itself.
+    odd = odd.select("value", "n", F.xxhash64("value").alias("v1"), F.xxhash64("value", F.lit(1)).alias("v2"))
+    by_value = Window.partitionBy("v1", "v2")
     ordered = by_value.orderBy("pos", "sub")
 
     # Code points and their decomposition. Full-width punctuation beside Chinese or Japanese stays.
-    chars = odd.select("value", "n", F.posexplode(F.split("value", "")).alias("pos", "ch")).where(F.col("ch") != "")
+    chars = odd.select("v1", "v2", (F.col("value").rlike(f"[{CJK}][！（），：；？～]|[！（），：；？～][{CJK}]")).alias("cjk"), F.posexplode(F.split("value", "")).alias("pos", "ch")).where(F.col("ch") != "")
     chars = chars.join(dec, "ch", "left")
-    natural = F.col("ch").rlike("[！（），：；？～]") & F.col("value").rlike(f"[{CJK}][！（），：；？～]|[！（），：；？～][{CJK}]")
-    pieces = chars.select("value", "n", "pos", F.posexplode(F.when(natural | F.col("parts").isNull(), F.array("ch")).otherwise(F.col("parts"))).alias("sub", "c"))
+    natural = F.col("ch").rlike("[！（），：；？～]") & F.col("cjk")
+    pieces = chars.select("v1", "v2", "pos", F.posexplode(F.when(natural | F.col("parts").isNull(), F.array("ch")).otherwise(F.col("parts"))).alias("sub", "c"))
     pieces = pieces.join(ccc, "c", "left").withColumn("ccc", F.coalesce("ccc", F.lit(0)))
 
     # Words: runs of letters, marks, digits and joiners.
@@ -145,7 +147,7 @@ def plain_forms(values: DataFrame) -> DataFrame:
     pieces = pieces.withColumn("script", F.when(F.col("c").rlike(r"^\p{IsLatin}$"), "l").when(F.col("c").rlike(r"^\p{IsCyrillic}$"), "c").when(F.col("c").rlike(r"^\p{IsGreek}$"), "g"))
     pieces = pieces.join(alike, "c", "left")
 
-    in_word = Window.partitionBy("value", "word_no")
+    in_word = Window.partitionBy("v1", "v2", "word_no")
     w_order = in_word.orderBy("pos", "sub")
     count = lambda s: F.sum(F.when(F.col("script") == s, 1).otherwise(0)).over(in_word)
     proper = lambda s, other: F.max(F.when((F.col("script") == s) & (F.col("latin").isNull() | (F.col(other) == F.col("c"))), 1).otherwise(0)).over(in_word)
@@ -170,12 +172,12 @@ def plain_forms(values: DataFrame) -> DataFrame:
     symbol = (F.col("script") == "g") & F.col("first_in_word") & (F.col("rest").isin(*UNITS) | (F.lower("c") == F.col("c")) & F.coalesce(F.col("next_c").rlike(r"^[\p{Lu}\p{N}]$"), F.lit(False)))
     pieces = pieces.withColumn("target", target)
     out = F.when(mixed & F.col("latin").isNotNull() & (F.col("script") != F.col("target")) & ~F.coalesce(symbol, F.lit(False)), F.when(F.col("target") == "l", F.col("latin")).when(F.col("target") == "c", F.col("cyrillic")).otherwise(F.col("greek"))).otherwise(F.col("c"))
-    pieces = pieces.select("value", "n", "pos", "sub", "word_no", out.alias("c"), "ccc")
+    pieces = pieces.select("v1", "v2", "pos", "sub", out.alias("c"), "ccc")
 
     # Marks are ordered by class within the segment of their base; then the strings are rebuilt.
     pieces = pieces.withColumn("segment", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(ordered))
-    built = pieces.groupBy("value", "n").agg(F.sort_array(F.collect_list(F.struct("segment", "ccc", "pos", "sub", "c"))).alias("cs")).select("value", "n", F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("text"))
-    built = built.withColumn("text", _recompose(F.col("text")))
+    built = pieces.groupBy("v1", "v2").agg(F.sort_array(F.collect_list(F.struct("segment", "ccc", "pos", "sub", "c"))).alias("cs")).select("v1", "v2", F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("text"))
+    built = built.join(odd, ["v1", "v2"]).select("value", "n", _recompose(F.col("text")).alias("text"))
 
     # Joiners: only those between letters of a joining script can be required.
     has = F.col("text").rlike(f"[{ZWNJ}{ZWJ}]")
