@@ -41,7 +41,7 @@ def scores(records: DataFrame, group: str = "doc_id") -> DataFrame:
 
     Pairs without either have score 0 and are left out; 1 where the codes are equal, else 0.9 cosine.
     """
-    w = weights(records, group)
+    w = materialise(weights(records, group))  # read for the norms and for both sides
     norms = w.groupBy(group, "side", "idx").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     w = w.join(norms, [group, "side", "idx"]).where("norm > 0").select(group, "side", "idx", "term", (F.col("w") / F.col("norm")).alias("w"))
     a = w.where("side = 'gold'").select(group, "term", F.col("idx").alias("g"), F.col("w").alias("wg"))

@@ -151,7 +151,7 @@ def unknown_names(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def fixed_fields(spark: SparkSession, sf: str) -> DataFrame:
     r = read(spark, sf, "records")
-    return r.where(~F.col("publisher.name").eqNullSafe(F.lit("Invented Sample Repository")) | ~F.col("schemaversion").eqNullSafe(F.lit(P.Policy().schema_version))).select("delivery_id", F.coalesce("publisher.name", F.lit("")).alias("publisher_name"))
+    return r.where(~F.col("publisher.name").eqNullSafe(F.lit(P.Policy().publisher["name"])) | ~F.col("schemaversion").eqNullSafe(F.lit(P.Policy().schema_version))).select("delivery_id", F.coalesce("publisher.name", F.lit("")).alias("publisher_name"))
 
 
 @query

@@ -68,7 +68,7 @@ def settings(text: str, environment: dict[str, str] | None = None) -> dict[str,
     return out
 
 
-def curator(values: dict[str, str], prefix: str = "IGSN_CURATOR_") -> dict | None:
+def curator(values: dict[str, str], prefix: str = "CURATOR_") -> dict | None:
     """The person of the settings as a contributor; None without a "Family, Given" name."""
     name = values.get(prefix + "NAME", "")
     family, comma, given = (x.strip() for x in name.partition(","))

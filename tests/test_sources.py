@@ -74,9 +74,9 @@ def test_scan(spark, tmp_path):
 def test_settings():
     text = "# c\nA=1\nB = 'two # x'\nC=3 # three\nbroken\nD=\nexport=x"
     assert files.settings(text, {"A": "0"}) == {"A": "0", "B": "two # x", "C": "3", "D": "", "export": "x"}
-    c = files.curator({"IGSN_CURATOR_NAME": "Doe, Jo", "IGSN_CURATOR_ORCID": "x 0000-0002-0000-0015", "IGSN_CURATOR_AFFILIATION": "Inst", "IGSN_CURATOR_ROR": "https://ror.org/04v76ef78"})
+    c = files.curator({"CURATOR_NAME": "Doe, Jo", "CURATOR_ORCID": "x 0000-0002-0000-0015", "CURATOR_AFFILIATION": "Inst", "CURATOR_ROR": "https://ror.org/04v76ef78"})
     assert c["nameIdentifiers"][0]["nameIdentifier"].endswith("0015") and c["affiliation"][0]["affiliationIdentifier"] == "https://ror.org/04v76ef78"
-    assert files.curator({"IGSN_CURATOR_NAME": "NoComma"}) is None and files.curator({}) is None
+    assert files.curator({"CURATOR_NAME": "NoComma"}) is None and files.curator({}) is None
 
 
 def test_manifest_and_records(spark, tmp_path):
