@@ -65,6 +65,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_lithoflow_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.dirname(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        sc._lithoflow_shipped = True  # the executors have the same path
+        return
     at = os.path.join(tempfile.mkdtemp(prefix="lithoflow-"), "lithoflow_sources.zip")
     with zipfile.ZipFile(at, "w") as z:
         for folder, _, names in os.walk(root):
