@@ -2,8 +2,8 @@
 
 Distinct values are normalised and cut into parts at separators; every contiguous run of parts is a
 reading of the value. The character n-grams of a reading retrieve entries from an inverted index over
-labels and aliases and rank them by cosine, n-grams being weighted by their rarity among the entries.
-The best candidates are verified word by word: each word of the entry must stand in the reading, up to
+labels and aliases by cosine, n-grams being weighted by their rarity among the entries. All entries of
+at least LEAST_COSINE, however many, are verified word by word: each word of the entry must stand in the reading, up to
 typing errors and abbreviations, and the reading must have no further word that tells entries apart.
 The best entry is accepted above LEAST_SCORE and if no other entry comes within MARGIN; else 0.
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 50_000
-CANDIDATES = 16
 LEAST_COSINE, LEAST_SCORE, MARGIN = 0.15, 0.72, 0.03
 
 # Words that don't tell entries apart, and abbreviations that aren't beginnings.
@@ -133,6 +132,11 @@ def readings(value: str) -> list[str]:
     return [r for r in found if r]
 
 
+@lru_cache(20_000)
+def letters(text: str) -> Counter[str]:
+    return Counter(text)
+
+
 class Index:
     """Inverted index of character n-grams over the strings of a reference list."""
 
@@ -166,7 +170,7 @@ class Index:
         self.postings = {g: (np.array([k for k, _ in p], np.int64), np.array([w / norms[k] for k, w in p])) for g, p in lists.items()}
 
     def candidates(self, reading: str) -> list[int]:
-        """Places of the entries of highest cosine."""
+        """Places of all entries of at least LEAST_COSINE."""
         counts: dict[str, int] = defaultdict(int)
         for g in grams(reading):
             counts[g] += 1
@@ -175,8 +179,7 @@ class Index:
         if not hits:
             return []
         cosine = np.bincount(np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * c for p, c in hits]), len(self.entries)) / norm
-        top = np.argpartition(-cosine, min(CANDIDATES, len(cosine) - 1))[:CANDIDATES] if len(cosine) > CANDIDATES else np.arange(len(cosine))
-        return [int(k) for k in top if cosine[k] >= LEAST_COSINE]
+        return np.nonzero(cosine >= LEAST_COSINE)[0].tolist()
 
     def score(self, reading: str, k: int) -> float:
         """Similarity of a reading and an entry, verified word by word."""
@@ -218,8 +221,11 @@ class Index:
         a, b = "".join(typed), "".join(words)
         if abs(len(a) - len(b)) > 3 or len(b) < 8 or len(typed) == len(words):
             return 0.0
+        most = max(1, len(b) // 5)
+        if max(len(a), len(b)) - (letters(a) & letters(b)).total() > most:  # an edit changes one letter at most
+            return 0.0
         d = edits(a, b)
-        return 1 - d / len(b) if d <= max(1, len(b) // 5) else 0.0
+        return 1 - d / len(b) if d <= most else 0.0
 
     def best(self, value: str) -> dict[int, float]:
         """Score of the verified entries of a value."""

@@ -53,3 +53,9 @@ def test_blocks_of_the_reference_list(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "CPCDAL"), (2, "Univ. Denfufjord"), (3, "Inst. for Ceramics, Nensohaven")], "row_id bigint, value string")
     monkeypatch.setattr(canonical, "BLOCK", 2)
     assert {(r["row_id"], r["ref_id"]) for r in canonical.find(rows, ref, "org_id").collect()} == {(1, 1), (2, 2), (3, 4)}
+
+
+def test_all_near_entries_are_verified():
+    ix = index([(k, f"Institute for Ceramics {a}{b}", None) for k, (a, b) in enumerate((a, b) for a in ("Nenso", "Dallo", "Gazam", "Denfu", "Luvam") for b in ("haven", "fjord", "minster", "ova", "burg", "thal"))])
+    assert len(ix.candidates("institute ceramics")) == 30
+    assert ix.best("Institute Ceramics") == {i: ix.score("institute ceramics", k) for k, (i, _) in enumerate(ix.entries) if ix.score("institute ceramics", k)}
