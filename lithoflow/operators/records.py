@@ -166,14 +166,25 @@ def build(verified: DataFrame, texts: DataFrame | None = None, policy: P.Policy
     return records, rejected, changes
 
 
-def gathered(records: DataFrame, titles_: DataFrame, creators: DataFrame, subjects: DataFrame, descriptions: DataFrame) -> DataFrame:
+def gathered(records: DataFrame, titles_: DataFrame, creators: DataFrame, subjects: DataFrame, descriptions: DataFrame, contributors: DataFrame | None = None, affiliations: DataFrame | None = None) -> DataFrame:
     """Flat tables back into one row per record with sorted arrays of structs (the last delivery counts).
 
-    Rows repeated whole count once. Each child is grouped by record before it is joined.
+    Rows repeated whole count once. Each child is grouped by record before it is joined; with
+    ``affiliations``, agents have theirs as ``affiliation``.
     """
     last = records.groupBy("record_id").agg(F.max(F.struct("received_at", "delivery_id", "doc_id", "sample_idx", "doi", "publicationyear", "publisher")).alias("r")).select("record_id", "r.doc_id", "r.sample_idx", "r.doi", "r.publicationyear", "r.publisher")
-    of = lambda df, name, *cols: df.select("record_id", *cols).distinct().groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    under = lambda df, key, name, *cols: df.select(key, *cols).distinct().groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    of = lambda df, name, *cols: under(df, "record_id", name, *cols)
+    agent = ("agent_id", "name", "givenname", "familyname", "nameidentifiers")
+    if affiliations is not None:
+        places = under(affiliations, "agent_id", "affiliation", "affiliation_id", "name", "affiliationidentifier", "affiliationidentifierscheme", "schemeuri")
+        agent = (*agent, "affiliation")
+        creators = creators.join(places, "agent_id", "left")
+        contributors = None if contributors is None else contributors.join(places, "agent_id", "left")
+    parts = [of(titles_, "titles", "title_id", "title", "titletype", "lang"), of(creators, "creators", "seq_no", *agent), of(subjects, "subjects", "subject_id", "subject", "lang"), of(descriptions, "descriptions", "description_id", "description", "lang")]
+    if contributors is not None:
+        parts.append(of(contributors, "contributors", *agent, "nametype", "contributortype"))
     out = last
-    for part in (of(titles_, "titles", "title_id", "title", "titletype", "lang"), of(creators, "creators", "seq_no", "agent_id", "name", "givenname", "familyname"), of(subjects, "subjects", "subject_id", "subject", "lang"), of(descriptions, "descriptions", "description_id", "description", "lang")):
+    for part in parts:
         out = out.join(part, "record_id", "left")
     return out

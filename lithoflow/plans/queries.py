@@ -17,6 +17,7 @@ from lithoflow.functions import python as Y
 from lithoflow.functions import text as X
 from lithoflow.operators import checks, layout, lookup, matching, model_calls, records, scoring, shred, verify
 from lithoflow.plans.sql import all_sql  # noqa: F401 - registered beside the queries
+from lithoflow.schemas import NAME_TYPES
 from lithoflow.session import materialise, read
 from lithoflow.sources import files
 
@@ -315,11 +316,15 @@ def records_gathered(spark: SparkSession, sf: str) -> DataFrame:
 # -- look-ups ---------------------------------------------------------------------------------
 
 
+def _known(spark: SparkSession, sf: str) -> DataFrame:
+    """(text, ror, label): labels and aliases of the organisations, each once."""
+    return read(spark, sf, "organisations").select(F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"), "ror", "label").groupBy("text").agg(F.min_by("ror", "ror").alias("ror"), F.min_by("label", "ror").alias("label"))
+
+
 @query
 def lookup_join(spark: SparkSession, sf: str) -> DataFrame:
-    known = read(spark, sf, "organisations").select(F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"), "ror", "label").groupBy("text").agg(F.min_by("ror", "ror").alias("ror"), F.min_by("label", "ror").alias("label"))
     a = read(spark, sf, "affiliations")
-    return lookup.enrich_affiliations(a, known).select("affiliation_id", F.coalesce("affiliationidentifier", F.lit("")).alias("identifier"), "status")
+    return lookup.enrich_affiliations(a, _known(spark, sf)).select("affiliation_id", F.coalesce("affiliationidentifier", F.lit("")).alias("identifier"), "status")
 
 
 @query
@@ -332,21 +337,27 @@ def ror_choose(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.organisation_names(o.select(F.col("label").alias("text"), payload.alias("payload")))
 
 
+def _people(agents: DataFrame) -> DataFrame:
+    """Agents of the flat tables with the ORCIDs of their identifiers."""
+    return agents.select(F.col("agent_id").alias("person_id"), "name", "givenname", "familyname", F.coalesce(F.transform("nameidentifiers", lambda x: F.regexp_extract(F.coalesce(x["nameidentifier"], F.lit("")), P.ORCID, 0)), F.array().cast("array<string>")).alias("orcids"))
+
+
+def _registry(people: DataFrame) -> DataFrame:
+    """(orcid, registered): a registry made of the people who have both names."""
+    return people.select(F.explode("orcids").alias("orcid"), "givenname", "familyname").where("orcid <> '' and givenname is not null and familyname is not null").groupBy("orcid").agg(F.max(F.struct(F.upper("givenname").alias("given"), F.upper("familyname").alias("family"))).alias("registered"))
+
+
 @query
 def enriched_people(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "creators")
-    people = c.select(F.col("agent_id").alias("person_id"), "name", "givenname", "familyname", F.coalesce(F.transform("nameidentifiers", lambda x: F.regexp_extract(F.coalesce(x["nameidentifier"], F.lit("")), P.ORCID, 0)), F.array().cast("array<string>")).alias("orcids"))
-    names = people.select(F.explode("orcids").alias("orcid"), "givenname", "familyname").where("orcid <> '' and givenname is not null and familyname is not null").groupBy("orcid").agg(F.max(F.struct(F.upper("givenname").alias("given"), F.upper("familyname").alias("family"))).alias("registered"))
-    return lookup.enrich_people(people, names)
+    people = _people(read(spark, sf, "creators"))
+    return lookup.enrich_people(people, _registry(people))
 
 
 @query
 def enriched_records(spark: SparkSession, sf: str) -> DataFrame:
     """Nested records with the organisations' identifiers and the names under which identifiers are registered."""
-    o = read(spark, sf, "organisations")
-    known = o.select(F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("text"), "ror", "label")
-    none = spark.createDataFrame([], "orcid string, registered struct<given:string,family:string>")
-    out, _, _ = lookup.enrich_records(materialise(_nested(spark, sf)).select("doc_id", F.col("record_id").cast("int").alias("sample_idx"), "record"), none, known)
+    registry = _registry(_people(read(spark, sf, "creators")))
+    out, _, _ = lookup.enrich_records(materialise(_nested(spark, sf)).select("doc_id", F.col("record_id").cast("int").alias("sample_idx"), "record"), registry, _known(spark, sf))
     return out.select("doc_id", "sample_idx", F.to_json("record").alias("record"))
 
 
@@ -399,19 +410,22 @@ def title_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    """(doc_id, record_id, record): the flat tables as nested records of the model."""
-    g = records.gathered(*[read(spark, sf, t) for t in ("records", "titles", "creators", "subjects", "descriptions")])
+    """(doc_id, record_id, record): the flat tables, which have no dates and no related identifiers, as
+    nested records of the model."""
+    g = records.gathered(*[read(spark, sf, t) for t in ("records", "titles", "creators", "subjects", "descriptions", "contributors", "affiliations")])
     none = F.lit(None).cast("string")
-    ids = F.array().cast("array<struct<nameIdentifier:string,nameIdentifierScheme:string,schemeURI:string>>")
-    places = F.array().cast("array<struct<name:string,affiliationIdentifier:string,affiliationIdentifierScheme:string,schemeURI:string>>")
     e = lambda c: F.coalesce(c, F.array())
+    ids = lambda c: F.transform(e(c["nameidentifiers"]), lambda i: F.struct(i["nameidentifier"].alias("nameIdentifier"), i["nameidentifierscheme"].alias("nameIdentifierScheme"), i["schemeuri"].alias("schemeURI")))
+    places = lambda c: F.transform(e(c["affiliation"]), lambda a: F.struct(a["name"].alias("name"), a["affiliationidentifier"].alias("affiliationIdentifier"), a["affiliationidentifierscheme"].alias("affiliationIdentifierScheme"), a["schemeuri"].alias("schemeURI")))
+    agent = lambda c, kind: (c["name"].alias("name"), kind.alias("nameType"), c["givenname"].alias("givenName"), c["familyname"].alias("familyName"), ids(c).alias("nameIdentifiers"), places(c).alias("affiliation"))
+    told = lambda c: F.when(c["nametype"].isin(*NAME_TYPES), c["nametype"]).otherwise("Personal")
     record = F.struct(
         F.col("doi").alias("doi"), F.lit("").alias("url"),
-        F.transform(e(F.col("creators")), lambda c: F.struct(c["name"].alias("name"), F.lit("Personal").alias("nameType"), c["givenname"].alias("givenName"), c["familyname"].alias("familyName"), ids.alias("nameIdentifiers"), places.alias("affiliation"))).alias("creators"),
+        F.transform(e(F.col("creators")), lambda c: F.struct(*agent(c, F.lit("Personal")))).alias("creators"),
         F.transform(e(F.col("titles")), lambda t: F.struct(t["title"].alias("title"), none.alias("titleType"), t["lang"].alias("lang"))).alias("titles"),
         F.struct(F.col("publisher.name").alias("name"), none.alias("publisherIdentifier"), none.alias("publisherIdentifierScheme"), none.alias("schemeURI")).alias("publisher"),
         F.col("publicationyear").alias("publicationYear"), F.struct(F.lit("PhysicalObject").alias("resourceTypeGeneral"), F.lit("Material sample").alias("resourceType")).alias("types"), F.lit(P.Policy().schema_version).alias("schemaVersion"),
-        F.array().cast(f"array<{_contributor()}>").alias("contributors"), F.array().cast("array<struct<date:string,dateType:string,dateInformation:string>>").alias("dates"), F.lit("en").alias("language"),
+        F.transform(e(F.col("contributors")), lambda c: F.struct(*agent(c, told(c)), F.coalesce(X.contributor_type(c["contributortype"]), F.lit("Other")).alias("contributorType"))).alias("contributors"), F.array().cast("array<struct<date:string,dateType:string,dateInformation:string>>").alias("dates"), F.lit("en").alias("language"),
         F.transform(e(F.col("descriptions")), lambda d: F.struct(d["description"].alias("description"), F.lit("Abstract").alias("descriptionType"), d["lang"].alias("lang"))).alias("descriptions"),
         F.transform(e(F.col("subjects")), lambda s: F.struct(s["subject"].alias("subject"), s["lang"].alias("lang"), none.alias("subjectScheme"), none.alias("schemeURI"), none.alias("valueURI"))).alias("subjects"),
         F.array().cast("array<struct<relatedIdentifier:string,relatedIdentifierType:string,relationType:string,resourceTypeGeneral:string>>").alias("relatedIdentifiers"),
@@ -419,12 +433,6 @@ def _nested(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("doc_id", "record_id", "sample_idx", record.alias("record"))
 
 
-def _contributor() -> str:
-    from lithoflow.schemas import CONTRIBUTOR
-
-    return CONTRIBUTOR
-
-
 @query
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Each record scored against the next one of its document."""
