@@ -200,7 +200,7 @@ def markdown_table(rows: Column) -> Column:
 
 
 def roman(n: Column) -> Column:
-    """Roman numeral of 1 to 3999."""
+    """Roman numeral of 1 or more; M is repeated for the thousands."""
     digit = lambda one, five, ten: F.array(*map(F.lit, ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]))
     at = lambda k: (F.floor(n / k) % 10 + 1).cast("int")
     return F.concat(F.repeat(F.lit("M"), F.floor(n / 1000).cast("int")), F.element_at(digit("C", "D", "M"), at(100)), F.element_at(digit("X", "L", "C"), at(10)), F.element_at(digit("I", "V", "X"), at(1)))

@@ -24,3 +24,9 @@ def test_records_are_enriched(spark, sf):
     changed = [k for k in before if json.loads(before[k]) != after[k]]
     rors = [p for r in after.values() for a in (*r["creators"], *r["contributors"]) for p in a["affiliation"] if p.get("affiliationIdentifierScheme") == "ROR"]
     assert changed and rors
+
+
+def test_labels_beyond_3999(spark, tmp_path):
+    spark.createDataFrame([(0,), (3999,), (4000,), (10_001,)], "s_suppkey bigint").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["s_suppkey"]: (r["roman"], r["letter"]) for r in queries.list_labels(spark, str(tmp_path)).collect()}
+    assert got == {3999: ("MMMCMXCIX", "u"), 4000: ("MMMM", "v"), 10_001: ("MMMMMMMMMMI", "q")}
