@@ -8,7 +8,8 @@ at a small Hamming distance. Each of REPEATS walks is followed by bit sampling:
 random places of the output make a key. A document's windows get keys the same way and meet the
 items' windows in an inverted index. Each meeting is verified by an exact local alignment over the
 words: a match counts 1, a changed, missing or added word costs EDIT_COST; a passage counts from
-LEAST_SCORE, which a run of 12 equal words reaches, or 16 words with one in eight changed.
+LEAST_SCORE, which a run of 12 equal words reaches, or 14 words with one changed. 12 or 13 words with
+one changed and 16 words with two changed score less and are lost (see the README).
 
 A window in which more than a quarter of the words occur in no item at all can't lie in such a
 passage with the allowed edits; these are passed over before they are embedded.
