@@ -84,11 +84,26 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(df: DataFrame, least: int = 0) -> DataFrame:
-    """Repartitions narrow input whose files are few but whose rows are costly in Python.
+def spread(df: DataFrame) -> DataFrame:
+    """Repartitions input that has fewer splits than the cluster has cores, rows being costly in Python.
 
-    Small compressed files hold much text; one input split would keep one core busy.
+    Small compressed files hold much text; one input split would keep one core busy. Larger input keeps
+    its splits, so no text is shuffled.
     """
-    spark = df.sparkSession
-    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n)
+    least = max(df.sparkSession.sparkContext.defaultParallelism, 2)
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join whose size grows with the data: it is merged, never broadcast for its file size."""
+    return df.hint("merge")
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes materialised tables whose readers are all done."""
+    for df in tables:
+        for path in df.inputFiles()[:1]:
+            folder = path.rsplit("/", 1)[0]
+            if any(folder.endswith(p.rsplit("/", 1)[-1]) for p in _written):
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
