@@ -6,15 +6,16 @@ Goldenberg, Koucký 2016): a walk copies the current word to the output and move
 or not, as a random bit of (step, word) says, so that windows at a small edit distance become strings
 at a small Hamming distance. Each of REPEATS walks is followed by bit sampling: the words at SAMPLE
 random places of the output make a key. A document's windows get keys the same way and meet the
-items' windows in an inverted index. Each meeting is verified by an exact local alignment over the
-words: a match counts 1, a changed, missing or added word costs EDIT_COST; a passage counts from
-LEAST_SCORE, which a run of 12 equal words reaches, or 14 words with one changed. 12 or 13 words with
-one changed and 16 words with two changed score less and are lost (see the README).
+items' windows in an inverted index. Each meeting is verified by an exact alignment of the words by
+edit distance: a passage is a stretch of at least WINDOW consecutive words of the item, changed and
+missing ones counted, that stands in the document with at most one edit (a changed, missing or added
+word) for every EIGHTH of its words. Longer passages with more than MOST_EDITS edits hold a stretch
+with fewer that counts by itself.
 
 A window in which more than a quarter of the words occur in no item at all can't lie in such a
 passage with the allowed edits; these are passed over before they are embedded.
 
-Scale: documents are only read once, nothing is shuffled. The index of the items is broadcast in
+Scale: documents are read where they lie (a narrow input is spread over the cores first). The index of the items is broadcast in
 blocks of at most BLOCK_WORDS words, so its size is bounded; further blocks take further passes.
 
 Defined results: null, empty and blank texts match nothing, repeated documents each count, an item
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, REPEATS, SAMPLE = 12, 10, 5
-EDIT_COST, LEAST_SCORE = 2, 11
+EIGHTH, MOST_EDITS = 8, 3
 BLOCK_WORDS = 400_000
 #: Meetings within STEP words are verified together, over REACH more words on both sides.
 STEP, REACH = 16, 20
@@ -115,30 +116,38 @@ class Index:
 
 
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Best local alignment score of each pair of word sequences; exact, for all pairs at once."""
-    best = np.zeros(len(pairs), np.int32)
+    """Does the first sequence of each pair hold a passage of the second? Exact, for many pairs at once.
+
+    reach[e] holds, for each place of the second sequence, the most words of it that end there and stand
+    in the first up to the current word with at most e edits.
+    """
+    holds = np.zeros(len(pairs), bool)
     order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
-    for lo in range(0, len(order), 1024):
-        part = order[lo : lo + 1024]
+    least = [max(WINDOW, EIGHTH * e) for e in range(MOST_EDITS + 1)]
+    for lo in range(0, len(order), 512):
+        part = order[lo : lo + 512]
         rows, cols = max(len(pairs[k][0]) for k in part), max(len(pairs[k][1]) for k in part)
         a = np.zeros((rows, len(part)), np.int32)  # 0 and -2 match nothing
         b = np.full((cols, len(part)), -2, np.int32)
         for k, p in enumerate(part):
             a[: len(pairs[p][0]), k] = pairs[p][0]
             b[: len(pairs[p][1]), k] = pairs[p][1]
-        # Runs of missing words, by doubling; longer ones cost more than any score.
-        jumps = [1 << k for k in range(16) if 1 << k <= cols and EDIT_COST << k <= min(rows, cols)]
-        above = np.zeros((cols + 1, len(part)), np.int16)
-        top = np.zeros(len(part), np.int16)
+        inside = b != -2
+        reach = np.zeros((MOST_EDITS + 1, cols + 1, len(part)), np.int16)
+        found = np.zeros(len(part), bool)
         for i in range(rows):
-            now = np.maximum(above - np.int16(EDIT_COST), 0)
-            np.maximum(now[1:], above[:-1] + np.where(b == a[i], np.int16(1), np.int16(-EDIT_COST)), out=now[1:])
-            for g in jumps:
-                now[g:] = np.maximum(now[g:], now[:-g] - np.int16(EDIT_COST * g))
-            np.maximum(top, now.max(axis=0), out=top)
-            above = now
-        best[part] = top
-    return best
+            equal = b == a[i]
+            now = np.zeros_like(reach)
+            for e in range(MOST_EDITS + 1):
+                now[e, 1:] = np.where(equal, reach[e, :-1] + 1, 0)
+                if e:
+                    np.maximum(now[e], reach[e - 1], out=now[e])  # added
+                    edit = np.maximum(reach[e - 1, :-1], now[e - 1, :-1]) + 1  # changed, missing
+                    np.maximum(now[e, 1:], np.where(inside, edit, 0), out=now[e, 1:])
+                found |= (now[e] >= least[e]).any(axis=0)
+            reach = now
+        holds[part] = found
+    return holds
 
 
 def leaks(texts: list[str | None], index: Index) -> list[list[int]]:
@@ -197,26 +206,26 @@ def _leaks(parts: list[np.ndarray], owners: list[int], index: Index, out: list[l
             at, q = place * STEP, (place - diagonal) * STEP
             regions.append((flat[max(begin[d], at - REACH) : min(begin[d + 1], at + STEP + WINDOW + REACH)], w[max(0, q - REACH - STEP) : max(0, q + STEP + WINDOW + REACH)]))
         if tests:
-            for k in np.nonzero(align(regions) >= LEAST_SCORE)[0].tolist():
+            for k in np.nonzero(align(regions))[0].tolist():
                 hit.add((tests[k][0], tests[k][1]))
     for d, item in sorted(hit):
         out[owners[d]].append(index.items[item][0])
 
 
-def _blocks(items: DataFrame, key: str, text: str) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_WORDS words (one item may be larger)."""
-    out: list[list[tuple[int, str]]] = [[]]
+def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most BLOCK_WORDS words (one item may be larger), one at a time."""
+    block: list[tuple[int, str]] = []
     size = 0
     for row in items.select(F.col(key).cast("bigint"), F.col(text).cast("string")).dropDuplicates().orderBy(key).toLocalIterator():
         if row[1] is None:
             continue
         n = len(row[1].split())
-        if out[-1] and size + n > BLOCK_WORDS:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
+        if block and size + n > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append((row[0], row[1]))
         size += n
-    return out
+    yield block
 
 
 def find(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:

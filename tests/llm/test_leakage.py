@@ -13,19 +13,31 @@ def test_fold():
 
 
 def brute(a, b):
-    best = 0
-    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            h[i][j] = max(0, h[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -leakage.EDIT_COST), h[i - 1][j] - leakage.EDIT_COST, h[i][j - 1] - leakage.EDIT_COST)
-            best = max(best, h[i][j])
-    return best
+    """Some stretch of b of at least 12 words stands in a with at most an eighth of edits (Sellers)."""
+    for start in range(len(b) - leakage.WINDOW + 1):
+        costs = [0] * (len(a) + 1)
+        for n, w in enumerate(b[start:], 1):
+            row = [n]
+            for j, v in enumerate(a, 1):
+                row.append(min(costs[j] + 1, row[j - 1] + 1, costs[j - 1] + (v != w)))
+            costs = row
+            if n >= leakage.WINDOW and min(costs) * leakage.EIGHTH <= n:
+                return True
+    return False
 
 
 def test_alignment_is_exact():
     rng = random.Random(5)
-    pairs = [(np.array([rng.randint(1, 6) for _ in range(rng.randint(1, 40))], np.int32), np.array([rng.randint(1, 6) for _ in range(rng.randint(1, 40))], np.int32)) for _ in range(80)]
-    assert leakage.align(pairs).tolist() == [brute(a.tolist(), b.tolist()) for a, b in pairs]
+    pairs = []
+    for k in range(150):
+        b = [rng.randint(1, 30) for _ in range(rng.randint(5, 45))]
+        a = b[rng.randint(0, 5) :][: rng.randint(9, 40)]
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(a))
+            a[at : at + rng.randint(0, 1)] = rng.choice([[], [0], [99]])
+        pairs.append((np.array([rng.randint(1, 30) for _ in range(5)] + a + [0, 0], np.int32), np.array(b, np.int32)))
+    want = [brute(a.tolist(), b.tolist()) for a, b in pairs]
+    assert leakage.align(pairs).tolist() == want and 20 < sum(want) < 130
 
 
 def changed(rng, words):
@@ -56,6 +68,26 @@ def test_recall_against_planted_passages():
     assert not any(leakage.leaks(short, index))
 
 
+def test_recall_by_length():
+    """By the definition: passages of 12 to 24 words, one word in eight changed, missing or added anywhere."""
+    rng = random.Random(11)
+    items = [(i, rng.choices(WORDS, k=60)) for i in range(60)]
+    index = leakage.Index(items)
+    for n, edits in ((12, 0), (12, 1), (13, 1), (14, 1), (16, 2), (17, 2), (20, 2), (24, 3)):
+        texts, want = [], []
+        for _ in range(300):
+            i, w = rng.choice(items)
+            at = rng.randint(0, 60 - n)
+            passage = [[x] for x in w[at : at + n]]
+            for k in rng.sample(range(n), edits):
+                passage[k] = rng.choice([["qqq"], [], [passage[k][0], "zzz"]])
+            texts.append(" ".join(rng.choices(WORDS, k=30) + [x for p in passage for x in p] + rng.choices(WORDS, k=30)))
+            want.append(i)
+        got = leakage.leaks(texts, index)
+        recall = sum(i in g for i, g in zip(want, got)) / len(want)
+        assert recall >= 0.95, (n, edits, recall)
+
+
 def test_table(spark):
     rng = random.Random(1)
     items = spark.createDataFrame([(1, " ".join(rng.choices(WORDS, k=30))), (2, "too short to leak"), (3, None), (4, "")], "item_id bigint, text string")
