@@ -3,15 +3,18 @@
 A document's size is its number of tokens under the byte-level tokenizer ByT5: one per UTF-8 byte and
 one end token. Each document gets a vector of hashed byte n-grams, projected to DIMENSIONS numbers at
 random; the place of these on a Hilbert curve orders the documents so that neighbours are alike. The
-curve is cut into ranges of about PART_TOKENS tokens; in each, blocks of neighbouring documents are
-packed by best fit, largest first, into the containers still open along the curve.
+curve is cut into ranges of about PART_TOKENS tokens; in each, blocks of BLOCK neighbours are packed one
+after another, largest first, by best fit into the containers still open along the curve. Short blocks
+keep a container's documents close on the curve, at a small cost of room (see report()).
 
 A document is split only where it alone exceeds the capacity: into full containers and a rest, which
 is packed like any other document. Tokens are split at exact offsets, so no room is lost.
 
-Scale: texts are read once and only ids, sizes and curve keys are shuffled, by range; equal keys (of
-repeated documents) are spread by a hash of the id. A task's memory holds one block and OPEN
-containers. Each range leaves at most the containers open at its end partly filled.
+Scale: texts are read where they lie and only ids, sizes and curve keys are shuffled, by range; the
+ranges follow from the tokens of at most CUTS x SALTS stretches of the curve, over which equal keys (of
+repeated documents) are spread by a hash of the id, so the same input always gives the same containers.
+A task's memory holds one block and OPEN containers. Each range leaves at most the containers open at
+its end partly filled.
 
 Defined results: null texts are in no container; an empty text is one token; every other document is
 in each capacity's packing exactly once, whole or as consecutive pieces that add up to it.
@@ -30,8 +33,10 @@ from pyspark.sql import functions as F
 from lithoflow.session import materialise
 
 GRAM, CELLS, DIMENSIONS, BITS = 4, 512, 4, 10
-BLOCK, OPEN = 8192, 512
+BLOCK, OPEN = 256, 512
 PART_TOKENS = 24_000_000
+#: Stretches of the curve, as bits, that ranges are made of, and of equal keys.
+CUTS, SALTS = 10, 64
 
 
 def vector(data: bytes, matrix: np.ndarray) -> np.ndarray:
@@ -115,7 +120,7 @@ class Packer:
 
 
 def curve(docs: DataFrame, key: str, text: str, seed: int = 11) -> DataFrame:
-    """(key, n_tokens, curve_key) of every document with a text."""
+    """(key, n_tokens, curve_key, place) of every document with a text; place: its standardised numbers."""
     rng = np.random.default_rng(seed)
     matrix = rng.standard_normal((CELLS, DIMENSIONS))
 
@@ -135,9 +140,10 @@ def curve(docs: DataFrame, key: str, text: str, seed: int = 11) -> DataFrame:
         for batch in batches:
             z = (np.stack([batch.column(2 + d).to_numpy() for d in range(DIMENSIONS)], axis=1) - mean) / scale
             cells = ((1 << BITS) / (1 + np.exp(-1.702 * z))).astype(np.int64).clip(0, (1 << BITS) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert(cells), pa.int64())], names=[key, "n_tokens", "curve_key"])
+            places = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * DIMENSIONS), pa.array(z.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hilbert(cells), pa.int64()), places], names=[key, "n_tokens", "curve_key", "place"])
 
-    return points.mapInArrow(place, f"`{key}` bigint, n_tokens bigint, curve_key bigint")
+    return points.mapInArrow(place, f"`{key}` bigint, n_tokens bigint, curve_key bigint, place array<double>")
 
 
 def pack(placed: DataFrame, capacities: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -147,36 +153,60 @@ def pack(placed: DataFrame, capacities: DataFrame, key: str = "doc_id") -> DataF
     of settings; null or non-positive capacities hold nothing.
     """
     sizes = [(r[0], r[1]) for r in capacities.select(F.col("capacity_id").cast("bigint"), F.col("n_tokens").cast("bigint")).dropDuplicates(["capacity_id"]).where("n_tokens > 0").orderBy("capacity_id").collect()]
-    total = placed.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, -(-total // PART_TOKENS))
+    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
+    stretch = F.shiftright("curve_key", DIMENSIONS * BITS - CUTS) * SALTS + salt
+    marked = placed.select(key, "n_tokens", "curve_key", F.xxhash64(key).alias("salt"), stretch.alias("stretch"))
+    sums = marked.groupBy("stretch").agg(F.sum("n_tokens").alias("n")).orderBy("stretch").collect()  # at most 2^CUTS x SALTS
+    ends = np.cumsum([r["n"] for r in sums]) if sums else np.zeros(0)
+    parts = max(1, -(-int(ends[-1]) // PART_TOKENS)) if len(ends) else 1
+    # Ranges of equal size, by where a stretch's middle lies.
+    part_of = {r["stretch"]: int(min(parts - 1, (end - r["n"] / 2) * parts // ends[-1])) for r, end in zip(sums, ends)}
+    borders = sorted({p: s for s, p in sorted(part_of.items(), reverse=True)}.items())  # the first stretch of each range
+    firsts = F.array(*[F.lit(s).cast("bigint") for _, s in borders]) if borders else F.array(F.lit(0).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        now, packers, block = None, [], []
 
-        first = TaskContext.get().partitionId() << 40
-        packers = [(c, Packer(n, first)) for c, n in sizes]
-
-        def flush(items: list[tuple[int, int]]) -> pa.RecordBatch:
-            rows = [(c, *r) for c, p in packers for r in p.add(items)]
+        def flush() -> pa.RecordBatch:
+            rows = [(c, *r) for c, p in packers for r in p.add(block)]
+            block.clear()
             cols = list(zip(*rows)) or [()] * 6
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["capacity_id", "container_id", key, "piece_no", "first_token", "n_tokens"])
 
-        block: list[tuple[int, int]] = []
         for batch in batches:
-            block.extend(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-            while len(block) >= BLOCK:
-                yield flush(block[:BLOCK])
-                block = block[BLOCK:]
+            for part, i, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if part != now:
+                    if block:
+                        yield flush()
+                    now, packers = part, [(c, Packer(size, part << 40)) for c, size in sizes]
+                block.append((i, n))
+                if len(block) >= BLOCK:
+                    yield flush()
         if block:
-            yield flush(block)
+            yield flush()
+
+    part = F.size(F.filter(firsts, lambda s: s <= F.col("stretch")))
+    ordered = marked.withColumn("part", part).repartition(parts, "part").sortWithinPartitions("part", "curve_key", "salt", key)
+    return ordered.select("part", key, "n_tokens").mapInArrow(run, f"capacity_id bigint, container_id bigint, `{key}` bigint, piece_no bigint, first_token bigint, n_tokens bigint")
 
-    salt = F.xxhash64(key)
-    ordered = placed.select(key, "n_tokens", "curve_key", salt.alias("salt")).repartitionByRange(parts, "curve_key", "salt").sortWithinPartitions("curve_key", "salt")
-    return ordered.select(key, "n_tokens").mapInArrow(run, f"capacity_id bigint, container_id bigint, `{key}` bigint, piece_no bigint, first_token bigint, n_tokens bigint")
 
+def report(packed: DataFrame, capacities: DataFrame, placed: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(capacity_id, n_containers, n_pieces, used_tokens, filled, spread): how full the containers are
+    and how alike their documents.
 
-def report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(capacity_id, n_containers, n_pieces, used_tokens, filled): how full the containers are."""
+    ``spread``: variance of the documents' places within containers as a share of that over all
+    documents; about 1 where documents are packed in random order. Null without ``placed``, the result of
+    curve(), or where no container holds two documents.
+    """
     sizes = capacities.select("capacity_id", F.col("n_tokens").alias("size"))
-    counted = packed.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n")).groupBy("capacity_id").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("used_tokens"))
-    return counted.join(F.broadcast(sizes), "capacity_id").select("capacity_id", "n_containers", "n_pieces", "used_tokens", (F.col("used_tokens") / (F.col("n_containers") * F.col("size"))).alias("filled"))
+    places = [F.lit(None).cast("double").alias(f"z{d}") for d in range(DIMENSIONS)]
+    if placed is not None:
+        places = [F.col("place")[d].alias(f"z{d}") for d in range(DIMENSIONS)]
+        packed = packed.join(placed.select(key, "place").hint("merge"), key)
+    held = packed.select("capacity_id", "container_id", "n_tokens", *places)
+    deviations = [F.var_samp(f"z{d}") for d in range(DIMENSIONS)]
+    within = sum((F.coalesce(v, F.lit(0.0)) for v in deviations), F.lit(0.0)) * (F.count("*") - 1)
+    containers = held.groupBy("capacity_id", "container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("n"), within.alias("within"))
+    counted = containers.groupBy("capacity_id").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("used").alias("used_tokens"), F.sum("within").alias("within"), F.sum(F.col("n") - 1).alias("free"))
+    spread = F.when(F.col("free") > 0, F.col("within") / F.col("free") / DIMENSIONS) if placed is not None else F.lit(None).cast("double")
+    return counted.join(F.broadcast(sizes), "capacity_id").select("capacity_id", "n_containers", "n_pieces", "used_tokens", (F.col("used_tokens") / (F.col("n_containers") * F.col("size"))).alias("filled"), spread.alias("spread"))

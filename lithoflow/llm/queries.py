@@ -46,14 +46,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(p5_links(spark, sf_dir))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(packing.curve(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text"))
+
+
 def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = materialise(packing.curve(spread(docs), "doc_id", "text"))
-    return packing.pack(placed, read(spark, sf_dir, "capacities"))
+    return packing.pack(_placed(spark, sf_dir), read(spark, sf_dir, "capacities"))
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.report(p6_packing(spark, sf_dir), read(spark, sf_dir, "capacities"))
+    placed, capacities = _placed(spark, sf_dir), read(spark, sf_dir, "capacities")
+    return packing.report(packing.pack(placed, capacities), capacities, placed)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,23 @@ def test_table(spark):
     assert {r["capacity_id"] for r in packed} == {1, 2}
     empty = packing.pack(materialise(packing.curve(df.limit(0), "doc_id", "text")), caps)
     assert empty.count() == 0
+
+
+def test_neighbours_share_containers(spark, monkeypatch):
+    """Texts of eight kinds: packed along the curve, containers are more alike inside than at random, nearly
+    full, and the same in every run, however many ranges and partitions there are."""
+    rng = random.Random(4)
+    kinds = [[f"{a}{b}{c}" for a in rng.sample("bcdfghjkl", 3) for b in rng.sample("aeiou", 2) for c in rng.sample("mnprst", 2)] for _ in range(8)]
+    rows = [(k, " ".join(rng.choices(kinds[k % 8], k=rng.randint(5, 60)))) for k in range(4000)] + [(5000 + k, "the same text " * 5) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    caps = spark.createDataFrame([(1, "s", 1024)], "capacity_id bigint, label string, n_tokens bigint")
+    monkeypatch.setattr(packing, "PART_TOKENS", 100_000)
+    placed = materialise(packing.curve(df, "doc_id", "text"))
+    packed = materialise(packing.pack(placed, caps))
+    r = packing.report(packed, caps, placed).first()
+    assert r["filled"] > 0.97 and r["spread"] < 0.6
+    shuffled = packed.withColumn("doc_id", F.pmod(F.col("doc_id") * 7919, F.lit(4000))).dropDuplicates(["doc_id"])
+    assert 0.8 < packing.report(shuffled, caps, placed).first()["spread"] < 1.2
+    other = materialise(packing.curve(df.repartition(5, "text"), "doc_id", "text"))
+    assert packing.pack(other, caps).exceptAll(packed).count() == 0
+    assert packing.report(packed, caps).first()["spread"] is None
