@@ -8,6 +8,7 @@ Null and missing values count as empty; a document without extraction keeps a nu
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,26 +68,35 @@ def code_from_title(title: Column, code: Column) -> Column:
 
 
 def recover(people: list[dict], text: str) -> list[tuple[int, str]]:
-    """(person, ORCID) for people without an identifier whose name is followed by one nobody has yet."""
+    """(person, ORCID) for people without an identifier whose name is followed by one nobody has yet.
+
+    The places of all names and identifiers are listed once, in order; what follows a name reaches to the
+    next place of another name, P.ROLE_WINDOW characters at most.
+    """
     plain = re.sub(r"\s+", " ", re.sub(P.SCRIPT_TAG, "", text))
     low = plain.lower()
     names = [((p.get("familyName") or (p.get("name") or "").split(",")[0]) or "").strip() for p in people]
-    taken = {m.group() for p in people for i in p.get("nameIdentifiers") or [] if (m := re.search(P.ORCID, (i or {}).get("nameIdentifier") or ""))}
+    ids = [(m.start(), m[1]) for m in re.finditer(f"(?=({P.ORCID}))", plain)]
+    starts = [at for at, _ in ids]
+    places = {n: [m.start() for m in re.finditer(f"(?={re.escape(n.lower())})", low)] for n in set(names) if n}
+    taken = {m[0] for p in people for i in p.get("nameIdentifiers") or [] if (m := re.search(P.ORCID, (i or {}).get("nameIdentifier") or ""))}
     found = []
     for k, (person, name) in enumerate(zip(people, names)):
         if person.get("nameIdentifiers") or not name:
             continue
-        others = [n.lower() for n in names if n and n != name]
-        at = low.find(name.lower())
-        while at >= 0:
-            begin = at + len(name)
-            ends = [begin + P.ROLE_WINDOW, *(e for n in others if (e := low.find(n, begin)) >= 0)]
-            m = re.search(P.ORCID, plain[begin : min(ends)])
-            if m and m.group() not in taken:
-                taken.add(m.group())
-                found.append((k, m.group()))
+        others = sorted(at for n, ats in places.items() if n != name for at in ats)
+        after = -1
+        for at in places[name]:
+            if at < after:
+                continue  # within the place before
+            after = at + len(name)
+            n = bisect_left(others, after)
+            limit = min(after + P.ROLE_WINDOW, others[n] if n < len(others) else len(plain))
+            k_id = bisect_left(starts, after)
+            if k_id < len(ids) and ids[k_id][0] + len(ids[k_id][1]) <= limit and ids[k_id][1] not in taken:
+                taken.add(ids[k_id][1])
+                found.append((k, ids[k_id][1]))
                 break
-            at = low.find(name.lower(), begin)
     return found
 
 
