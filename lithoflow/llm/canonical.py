@@ -2,13 +2,15 @@
 
 Distinct values are normalised and cut into parts at separators; every contiguous run of parts is a
 reading of the value. The character n-grams of a reading retrieve entries from an inverted index over
-labels and aliases by cosine, n-grams being weighted by their rarity among the entries. All entries of
-at least LEAST_COSINE, however many, are verified word by word: each word of the entry must stand in the reading, up to
-typing errors and abbreviations, and the reading must have no further word that tells entries apart.
-The best entry is accepted above LEAST_SCORE and if no other entry comes within MARGIN; else 0.
+labels and aliases by cosine, n-grams being weighted by their rarity in the whole list. All entries of
+at least LEAST_COSINE, however many, are scored by the weighted cosine of the words: each word of the
+entry must stand in the reading, up to typing errors and abbreviations, and words of the reading that
+the entry lacks are in its vector if they tell entries apart. The best entry is accepted above
+LEAST_SCORE and if no other entry comes within MARGIN; else 0. Values equal to an entry take the same way.
 
 Scale: only distinct values are scored, with no shuffle but their own; the index of the reference list
-is broadcast in blocks of at most BLOCK strings, further blocks take further passes.
+is broadcast in blocks of at most BLOCK strings, further blocks take further passes. Weights are counted
+over all blocks first, so a value's scores don't depend on how the list is cut.
 
 Defined results: null and blank values are no cases; a value equal to a label, character for
 character, is no case either; ties between entries give 0; with an empty list every value gives 0.
@@ -16,8 +18,11 @@ character, is no case either; ties between entries give 0; with an empty list ev
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 50_000
-LEAST_COSINE, LEAST_SCORE, MARGIN = 0.15, 0.72, 0.03
+LEAST_COSINE, LEAST_SCORE, MARGIN = 0.15, 0.7, 0.03
 
 # Words that don't tell entries apart, and abbreviations that aren't beginnings.
 STOP = {"of", "the", "for", "in", "and", "at", "a", "an", "de", "des", "du", "der", "die", "das", "den", "fur", "f", "von", "im", "la", "le", "les", "el", "los", "y", "et", "und", "d", "l"}
@@ -137,44 +142,58 @@ def letters(text: str) -> Counter[str]:
     return Counter(text)
 
 
+class Weights:
+    """Rarity of n-grams and words over a whole reference list, however many blocks it is read in."""
+
+    def __init__(self) -> None:
+        self.n = 0
+        self.grams: Counter[str] = Counter()
+        self.words: Counter[str] = Counter()
+
+    def add(self, text: str) -> None:
+        """Counts a string of the list."""
+        folded = fold(text)
+        self.n += 1
+        self.grams.update(set(grams(folded)))
+        self.words.update(set(telling(folded)))
+
+    def gram(self, g: str) -> float:
+        return math.log(1 + self.n / self.grams.get(g, 1))
+
+    def word(self, w: str) -> float:
+        return 1 + math.log(1 + self.n / self.words.get(w, 1))
+
+
+def telling(text: str) -> list[str]:
+    """The words of a folded text that tell entries apart, all if there is none."""
+    words = text.split()
+    return [w for w in words if w not in STOP] or words
+
+
 class Index:
-    """Inverted index of character n-grams over the strings of a reference list."""
+    """Inverted index of character n-grams over a block of the reference list's strings."""
 
-    def __init__(self, entries: list[tuple[int, str]]) -> None:
+    def __init__(self, entries: list[tuple[int, str]], weights: Weights) -> None:
         folded = {(i, fold(t)) for i, t in entries if t and fold(t)}
         self.entries = sorted(folded, key=lambda x: (x[1], x[0]))
-        self.words = [[w for w in t.split() if w not in STOP] or t.split() for _, t in self.entries]
-        self.exact: dict[str, set[int]] = defaultdict(set)
-        uses: dict[str, set[int]] = defaultdict(set)
-        word_uses: dict[str, set[int]] = defaultdict(set)
-        for k, (i, t) in enumerate(self.entries):
-            self.exact[t].add(i)
-            for g in set(grams(t)):
-                uses[g].add(k)
-            for w in self.words[k]:
-                word_uses[w].add(i)
-        n = max(len(self.entries), 1)
-        self.weight = {g: float(np.log(1 + n / len(s))) for g, s in uses.items()}
-        self.rare = float(np.log(1 + n))
-        self.word_weight = {w: 1 + float(np.log(1 + n / len(s))) for w, s in word_uses.items()}
-        norms = np.zeros(n)
+        self.words = [telling(t) for _, t in self.entries]
+        self.weights = weights
+        self.gram = {g: weights.gram(g) for g in weights.grams}
+        self.rare = weights.gram("")
+        norms = np.zeros(max(len(self.entries), 1))
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for k, (_, t) in enumerate(self.entries):
-            counts: dict[str, int] = defaultdict(int)
-            for g in grams(t):
-                counts[g] += 1
-            norms[k] = np.sqrt(sum((c * self.weight[g]) ** 2 for g, c in counts.items()))
+            counts = Counter(grams(t))
+            norms[k] = math.sqrt(sum((c * self.gram[g]) ** 2 for g, c in counts.items()))
             for g, c in counts.items():
-                lists[g].append((k, c * self.weight[g] ** 2))
+                lists[g].append((k, c * self.gram[g] ** 2))
         norms[norms == 0] = 1
         self.postings = {g: (np.array([k for k, _ in p], np.int64), np.array([w / norms[k] for k, w in p])) for g, p in lists.items()}
 
     def candidates(self, reading: str) -> list[int]:
         """Places of all entries of at least LEAST_COSINE."""
-        counts: dict[str, int] = defaultdict(int)
-        for g in grams(reading):
-            counts[g] += 1
-        norm = np.sqrt(sum((c * self.weight.get(g, self.rare)) ** 2 for g, c in counts.items()))
+        counts = Counter(grams(reading))
+        norm = math.sqrt(sum((c * self.gram.get(g, self.rare)) ** 2 for g, c in counts.items()))
         hits = [(self.postings[g], c) for g, c in counts.items() if g in self.postings]
         if not hits:
             return []
@@ -182,7 +201,12 @@ class Index:
         return np.nonzero(cosine >= LEAST_COSINE)[0].tolist()
 
     def score(self, reading: str, k: int) -> float:
-        """Similarity of a reading and an entry, verified word by word."""
+        """Weighted cosine of a reading and an entry over their words, a typed word standing for a word of
+        the entry as far as word_similarity() says; 0 where a word of the entry is missing.
+
+        Both vectors have a word's rarity as its weight. Words that the entry doesn't have are in the
+        reading's vector unless they are numbers, remarks or small words, which tell no entries apart.
+        """
         words = self.words[k]
         typed = [w for w in reading.split() if w not in STOP]
         if len(words) == 1 and len(words[0]) <= 8 and words[0] not in reading:  # short names and acronyms
@@ -190,10 +214,10 @@ class Index:
             s = word_similarity(one, words[0]) if len(words[0]) > 3 and one[:1] == words[0][:1] or len(words[0]) > 4 else 0.0
             if not any(c.isdigit() for c in one) and s and (len(typed) == 1 or len(one) > 4):
                 return s * (1 if len(typed) == 1 else 0.95)
-        total = got = 0.0
+        product = own = 0.0
         free = list(typed)
         for w in sorted(words, key=len, reverse=True):
-            weight = self.word_weight.get(w, 1.0)
+            weight = self.weights.word(w) ** 2
             best, at = 0.0, -1
             for j, v in enumerate(free):
                 s = word_similarity(v, w)
@@ -201,19 +225,21 @@ class Index:
                     best, at = s, j
             if at < 0:
                 return self._squashed(typed, words)
-            total += weight
-            got += weight * best
+            own += weight
+            product += weight * best
             free.pop(at)
-        # Words that the entry doesn't have: known words of entries tell it apart, numbers and remarks don't.
+        other = 0.0
         for v in free:
             if v.isdigit() or v in REMARKS or len(v) == 1 or small(v) or any(word_similarity(v, w) for w in words):
                 continue
-            total += 0.6 * (self.word_weight.get(v) or max((self.word_weight[w] for w in self.near_words(v)), default=self.rare))
-        return got / total if total else 0.0
+            other += max((self.weights.word(w) for w in self.near_words(v)), default=self.weights.word("")) ** 2
+        return product / math.sqrt(own * (own + other)) if own else 0.0
 
     @lru_cache(100_000)
     def near_words(self, typed: str) -> tuple[str, ...]:
-        return tuple(w for w in self.word_weight if abs(len(w) - len(typed)) < 3 and word_similarity(typed, w))
+        if typed in self.weights.words:
+            return (typed,)
+        return tuple(w for w in self.weights.words if abs(len(w) - len(typed)) < 3 and word_similarity(typed, w))
 
     @staticmethod
     def _squashed(typed: list[str], words: list[str]) -> float:
@@ -231,33 +257,34 @@ class Index:
         """Score of the verified entries of a value."""
         scores: dict[int, float] = {}
         for r in readings(value):
-            if r in self.exact:
-                for i in self.exact[r]:
-                    scores[i] = max(scores.get(i, 0), 1.0)
-                continue
             for k in self.candidates(r):
                 if s := self.score(r, k):
                     i = self.entries[k][0]
                     scores[i] = max(scores.get(i, 0), s)
-            # A role with words of remark around it.
-            words = r.split()
-            for v in {" ".join(words[:n]) for n in range(1, len(words))} | {" ".join(words[n:]) for n in range(1, len(words))}:
-                if v in self.exact and all(w.isdigit() or w in REMARKS or w in STOP or len(w) < 2 for w in words if w not in v.split()):
-                    for i in self.exact[v]:
-                        scores[i] = max(scores.get(i, 0), 0.99)
         return scores
 
 
+_BUILT: dict[str, Index] = {}
+
+
+def _index(name: str, block: list[tuple[int, str]], weights: Weights) -> Index:
+    """The index of a block, built once in each Python worker, which holds the last one only."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Index(block, weights)
+    return _BUILT[name]
+
+
+def _texts(entries: DataFrame) -> Iterator[tuple[int, str]]:
+    for row in entries.select("ref_id", "text").where("text is not null").dropDuplicates().orderBy("ref_id", "text").toLocalIterator():
+        if fold(row[1]):
+            yield row[0], row[1]
+
+
 def _reference(entries: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The reference list in blocks of at most BLOCK strings."""
-    block: list[tuple[int, str]] = []
-    for row in entries.select("ref_id", "text").dropDuplicates().orderBy("ref_id", "text").toLocalIterator():
-        if row[1] is not None:
-            block.append((row[0], row[1]))
-            if len(block) >= BLOCK:
-                yield block
-                block = []
-    if block:
+    texts = _texts(entries)
+    while block := list(itertools.islice(texts, BLOCK)):
         yield block
 
 
@@ -270,12 +297,16 @@ def strings(reference: DataFrame, key: str, label: str = "label", aliases: str =
 def map_values(values: DataFrame, entries: DataFrame) -> DataFrame:
     """(value, ref_id, score) for distinct ``values`` (value); ref_id 0: none of the entries."""
     sc = values.sparkSession.sparkContext
+    counted = Weights()
+    for _, text in _texts(entries):
+        counted.add(text)
+    weights = sc.broadcast(counted)  # the list's n-grams and words
     scored = None
     for block in _reference(entries):
-        shared = sc.broadcast(block)
+        shared = sc.broadcast((uuid.uuid4().hex, block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = _index(*shared.value, weights.value)
             for batch in batches:
                 rows = [(v, i, s) for v in batch.column(0).to_pylist() for i, s in index.best(v).items()]
                 cols = list(zip(*rows)) or [(), (), ()]

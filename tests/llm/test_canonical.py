@@ -1,3 +1,5 @@
+import random
+
 from lithoflow.llm import canonical
 
 ORGS = [(1, "Dalloova Centre for Polymer Chemistry", ["Zentrum für Polymerchemie Dalloova", "CPCDAL"]), (2, "University of Denfufjord", ["Universität Denfufjord", "UDEN"]), (3, "Denfufjord University of Technology", ["Technische Universität Denfufjord"]), (4, "Institute for Ceramics, Nensohaven", None)]
@@ -5,7 +7,11 @@ ROLES = [(1, "ContactPerson", ["contact", "PI"]), (2, "DataCurator", ["data cura
 
 
 def index(rows):
-    return canonical.Index([(i, t) for i, l, a in rows for t in [l, *(a or [])]])
+    strings = [(i, t) for i, l, a in rows for t in [l, *(a or [])]]
+    weights = canonical.Weights()
+    for _, t in strings:
+        weights.add(t)
+    return canonical.Index(strings, weights)
 
 
 def best(ix, value):
@@ -51,8 +57,32 @@ def test_table(spark):
 def test_blocks_of_the_reference_list(spark, monkeypatch):
     ref = spark.createDataFrame(ORGS, "org_id bigint, label string, aliases array<string>")
     rows = spark.createDataFrame([(1, "CPCDAL"), (2, "Univ. Denfufjord"), (3, "Inst. for Ceramics, Nensohaven")], "row_id bigint, value string")
+    values, texts = rows.select("value").distinct(), canonical.strings(ref, "org_id")
+    whole = {r["value"]: (r["ref_id"], r["score"]) for r in canonical.map_values(values, texts).collect()}
     monkeypatch.setattr(canonical, "BLOCK", 2)
     assert {(r["row_id"], r["ref_id"]) for r in canonical.find(rows, ref, "org_id").collect()} == {(1, 1), (2, 2), (3, 4)}
+    assert {r["value"]: (r["ref_id"], r["score"]) for r in canonical.map_values(values, texts).collect()} == whole
+
+
+def test_retrieval_against_brute_force():
+    """Every entry that the score accepts for a mistyped or abbreviated form of it is retrieved."""
+    rng = random.Random(8)
+    kinds, fields = ("Institute", "Laboratory", "Centre", "University", "Academy"), ("Ceramics", "Metallurgy", "Polymer Chemistry", "Marine Geology", "Thin Films")
+    rows = [(k, f"{rng.choice(kinds)} for {rng.choice(fields)} {''.join(rng.choice('bdfgklmnprst') + rng.choice('aeiou') for _ in range(4))}", None) for k in range(300)]
+    ix = index(rows)
+    accepted = retrieved = 0
+    for k, label, _ in rows:
+        words = label.split()
+        at = rng.randrange(len(words[-1]) - 1)
+        words[-1] = words[-1][:at] + rng.choice("xyz") + words[-1][at + 1 :]
+        words[0] = words[0][: rng.choice((4, 5, 20))]
+        reading = canonical.fold(" ".join(words))
+        found = set(ix.candidates(reading))
+        for n in range(len(ix.entries)):
+            if ix.score(reading, n) >= canonical.LEAST_SCORE:
+                accepted += 1
+                retrieved += n in found
+    assert accepted >= 250 and retrieved >= 0.99 * accepted
 
 
 def test_all_near_entries_are_verified():
