@@ -115,39 +115,65 @@ class Index:
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
 
+#: A passage with at most MOST_EDITS edits holds a run of so many equal words.
+LEAST_RUN = min(-(-(max(WINDOW, EIGHTH * e) - e) // (e + 1)) for e in range(MOST_EDITS + 1))
+
+
 def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Does the first sequence of each pair hold a passage of the second? Exact, for many pairs at once.
 
-    reach[e] holds, for each place of the second sequence, the most words of it that end there and stand
-    in the first up to the current word with at most e edits.
+    The longest run of equal words decides most pairs; only the others are aligned with edits.
     """
-    holds = np.zeros(len(pairs), bool)
-    order = sorted(range(len(pairs)), key=lambda k: len(pairs[k][0]))
-    least = [max(WINDOW, EIGHTH * e) for e in range(MOST_EDITS + 1)]
+    runs = _in_lots(pairs, range(len(pairs)), _longest_runs, np.int16)
+    holds = runs >= WINDOW
+    rest = np.flatnonzero((runs >= LEAST_RUN) & ~holds).tolist()
+    if rest:
+        holds[rest] = _in_lots(pairs, rest, _aligned, bool)[rest]
+    return holds
+
+
+def _in_lots(pairs: list[tuple[np.ndarray, np.ndarray]], which, f, kind) -> np.ndarray:
+    """f of padded lots of pairs of about one length: f(words of the first, words of the second), a column a pair."""
+    out = np.zeros(len(pairs), kind)
+    order = sorted(which, key=lambda k: len(pairs[k][0]))
     for lo in range(0, len(order), 512):
         part = order[lo : lo + 512]
-        rows, cols = max(len(pairs[k][0]) for k in part), max(len(pairs[k][1]) for k in part)
-        a = np.zeros((rows, len(part)), np.int32)  # 0 and -2 match nothing
-        b = np.full((cols, len(part)), -2, np.int32)
+        a = np.zeros((max(len(pairs[k][0]) for k in part), len(part)), np.int32)  # 0 and -2 match nothing
+        b = np.full((max(len(pairs[k][1]) for k in part), len(part)), -2, np.int32)
         for k, p in enumerate(part):
             a[: len(pairs[p][0]), k] = pairs[p][0]
             b[: len(pairs[p][1]), k] = pairs[p][1]
-        inside = b != -2
-        reach = np.zeros((MOST_EDITS + 1, cols + 1, len(part)), np.int16)
-        found = np.zeros(len(part), bool)
-        for i in range(rows):
-            equal = b == a[i]
-            now = np.zeros_like(reach)
-            for e in range(MOST_EDITS + 1):
-                now[e, 1:] = np.where(equal, reach[e, :-1] + 1, 0)
-                if e:
-                    np.maximum(now[e], reach[e - 1], out=now[e])  # added
-                    edit = np.maximum(reach[e - 1, :-1], now[e - 1, :-1]) + 1  # changed, missing
-                    np.maximum(now[e, 1:], np.where(inside, edit, 0), out=now[e, 1:])
-                found |= (now[e] >= least[e]).any(axis=0)
-            reach = now
-        holds[part] = found
-    return holds
+        out[part] = f(a, b)
+    return out
+
+
+def _longest_runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    run, best = np.zeros(b.shape, np.int16), np.zeros(b.shape, np.int16)
+    for word in a:
+        now = (b == word).astype(np.int16)
+        now[1:] += run[:-1] * now[1:]
+        run = now
+        np.maximum(best, run, out=best)
+    return best.max(axis=0)
+
+
+def _aligned(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """reach[e] holds, for each place of the second sequence, the most words of it that end there and stand
+    in the first up to the current word with at most e edits."""
+    inside = (b != -2).astype(np.int16)
+    reach = np.zeros((MOST_EDITS + 1, b.shape[0] + 1, b.shape[1]), np.int16)
+    most = np.zeros_like(reach)
+    for word in a:
+        now = np.zeros_like(reach)
+        np.multiply(reach[:, :-1] + np.int16(1), b == word, out=now[:, 1:])
+        np.maximum(now[1:], reach[:-1], out=now[1:])  # added
+        for e in range(1, MOST_EDITS + 1):
+            edit = (np.maximum(reach[e - 1, :-1], now[e - 1, :-1]) + np.int16(1)) * inside  # changed, missing
+            np.maximum(now[e, 1:], edit, out=now[e, 1:])
+        reach = now
+        np.maximum(most, reach, out=most)
+    least = [max(WINDOW, EIGHTH * e) for e in range(MOST_EDITS + 1)]
+    return (most.max(axis=1) >= np.array(least)[:, None]).any(axis=0)
 
 
 def leaks(texts: list[str | None], index: Index) -> list[list[int]]:
