@@ -65,7 +65,9 @@ _BOXES = """boxes AS (SELECT l_orderkey AS doc_id, 'w' || l_partkey || CASE WHEN
 
 
 def all_sql() -> dict[str, str]:
-    return {
+    from lithoflow.plans import record_sql
+
+    return record_sql.all_sql() | {
         "copy_ratio": f"WITH {DOCS}, w AS (SELECT doc_id, {words('text')} AS w FROM docs), r AS (SELECT DISTINCT doc_id, unnest({shingles('w')}) AS run FROM w), iw AS (SELECT item_id, {words('coalesce(text, chr(32))')} AS w FROM eval_items), ir AS (SELECT DISTINCT item_id, unnest({shingles('w')}) AS run FROM iw), n AS (SELECT item_id, count(*) AS total FROM ir GROUP BY 1) SELECT doc_id, item_id, count(*) / any_value(total) AS ratio FROM r JOIN ir USING (run) JOIN n USING (item_id) GROUP BY ALL HAVING count(*) / any_value(total) >= 0.8",
         "copied_descriptions": f"WITH {LAST}, {DOCS}, {DESCRIPTIONS}, p AS (SELECT doc_id, text, {norm0(strip('text'))} AS haystack, {shingles(words('text'))} AS s FROM docs), q AS (SELECT t.description_id, p.*, {norm0(strip('t.description'))} AS key, {shingles(words('t.description'))} AS mine, t.description FROM texts t JOIN p USING (doc_id)) SELECT description_id, key = '' OR contains(haystack, key) OR (len(mine) > 0 AND len(list_intersect(mine, s)) / len(mine) >= 0.8) OR (len(mine) = 0 AND contains({norm0('text')}, {norm0('description')})) AS copied FROM q",
         "keyword_filter": f"WITH {LAST}, {DOCS}, s AS (SELECT DISTINCT subject_id, record_id, subject FROM subjects WHERE trim(subject) <> ''), p AS (SELECT doc_id, {tokens('text')} AS t FROM docs) SELECT subject_id, len([w FOR w IN {tokens('trim(subject)')} IF (regexp_matches(w, '\\p{{Nd}}') OR length(w) >= 4) AND NOT list_contains(p.t, w)]) = 0 AS in_source FROM s JOIN last USING (record_id) JOIN p USING (doc_id)",
@@ -74,15 +76,9 @@ def all_sql() -> dict[str, str]:
         "number_set_num": f"WITH d AS (SELECT DISTINCT description_id, description FROM descriptions WHERE description IS NOT NULL) SELECT DISTINCT description_id, CAST(unnest({numbers(norm('description'))}) AS DOUBLE) AS number FROM d",
         "new_numbers": f"WITH {LAST}, {DOCS}, {DESCRIPTIONS}, n AS ({_NEW}) SELECT description_id, value FROM n WHERE value <> ''",
         "doc_identifiers": f"WITH {DOCS}, {IDENTIFIERS} SELECT * FROM ids",
-        "unknown_identifiers": f"WITH {LAST}, {DOCS}, {ORCIDS} {_UNKNOWN_IDS}",
-        "missing_identifiers": f"WITH {LAST}, {DOCS}, {ORCIDS}, {IDENTIFIERS} SELECT * FROM ids i WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.doc_id = i.doc_id AND o.orcid = i.identifier)",
         "verified_orcids": f"WITH {LAST}, {DOCS} SELECT agent_id, CAST(len([x FOR x IN coalesce(nameidentifiers, []) IF regexp_extract(coalesce(x.nameidentifier, ''), '{P.ORCID}') <> '' AND contains({norm0('d.text')}, {norm0(f'regexp_extract(coalesce(x.nameidentifier, chr(32)), {chr(39)}{P.ORCID}{chr(39)})')})]) AS INT) AS n_verified FROM creators JOIN last USING (record_id) JOIN docs d USING (doc_id)",
-        "unknown_names": f"WITH {LAST}, {DOCS}, {_NAMES} {_UNKNOWN_NAMES}",
-        "fixed_fields": f"SELECT delivery_id, coalesce(publisher.name, '') AS publisher_name FROM records WHERE publisher.name IS DISTINCT FROM 'Invented Sample Repository' OR schemaversion IS DISTINCT FROM '{P.Policy().schema_version}'",
         "date_in_source": f"WITH {DOCS}, r AS (SELECT delivery_id, doc_id, strftime(created_at, '%Y-%m-%d') AS d FROM records WHERE created_at IS NOT NULL), n AS (SELECT doc_id, {norm0('text')} AS n FROM docs) SELECT delivery_id, list_bool_or([contains(n, {norm0('f')}) FOR f IN {date_forms('d')}]) AS in_source FROM r JOIN n USING (doc_id)",
         "code_from_title": "WITH t AS (SELECT DISTINCT title_id, title FROM titles), f AS (SELECT title_id, trim(regexp_extract(coalesce(title, ''), '\\(([^()]{2,40})\\)\\s*\\.?\\s*$', 1)) AS code FROM t) SELECT * FROM f WHERE code <> '' AND len(regexp_split_to_array(code, '\\s+')) <= 2 AND regexp_matches(code, '[\\p{Nd}_]|[A-Z]{2,}')",
-        "duplicate_titles": f"WITH {LAST}, {_DUP} SELECT * FROM dups",
-        "findings_summary": f"WITH {LAST}, {DOCS}, {ORCIDS}, {_NAMES}, {DESCRIPTIONS}, {_DUP}, i AS ({_UNKNOWN_IDS}), f AS ({_UNKNOWN_NAMES}), n AS ({_NEW}), a AS (SELECT c.agent_id, l.doc_id FROM creators c JOIN last l USING (record_id)), b AS (SELECT doc_id, 'error' AS s FROM i JOIN a USING (agent_id) UNION ALL SELECT doc_id, 'error' FROM f JOIN a USING (agent_id) UNION ALL SELECT doc_id, 'warning' FROM n WHERE value <> '' UNION ALL SELECT doc_id, 'warning' FROM dups) SELECT doc_id, count(*) FILTER (s = 'error') AS errors, count(*) FILTER (s = 'warning') AS warnings FROM b GROUP BY 1",
         "prompt_truncation": f"WITH {DOCS}, p AS (SELECT doc_id, 'Read this:' || chr(10) || text[1:30000] || chr(10) || 'Answer in JSON.' AS p FROM docs) SELECT doc_id, length(p) AS n_prompt, sha256(p) AS sha FROM p",
         "md_table": "SELECT l_orderkey, '| line | part | flags |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || '\\|' || l_linestatus || ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag || '|' || l_linestatus) AS md FROM lineitem GROUP BY 1",
         "input_filter": "WITH d AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '~$' WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || 'doc' || doc_id || '.' || CASE WHEN doc_id % 5 = 0 THEN 'ODT' ELSE file_format END AS name, lower(CASE WHEN doc_id % 5 = 0 THEN 'ODT' ELSE file_format END) AS s FROM documents) SELECT doc_id, NOT starts_with(name, '~$') AND NOT starts_with(name, '.') AND s IN ('docx', 'pdf', 'doc', 'odt', 'rtf', 'pages') AS is_input, CASE WHEN s IN ('docx', 'pdf') THEN s END AS format, s NOT IN ('docx', 'pdf') AS fatal FROM d",
@@ -94,7 +90,7 @@ def all_sql() -> dict[str, str]:
         "bare_doi": "SELECT delivery_id, trim(coalesce(doi, '')) AS bare FROM records",
         "publication_year": f"WITH {DOCS}, t AS (SELECT doc_id, text || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Additional information: published in print, 2019' ELSE '' END AS t FROM docs) SELECT doc_id, coalesce(nullif(regexp_extract(CASE WHEN instr(t, 'Additional information') > 0 THEN t[instr(t, 'Additional information') + 22:] ELSE '' END, '(?i)publi[\\p{{L}}\\p{{N}}_]*[^.\\n]{{0,80}}?\\b((?:19|20)\\d{{2}})\\b', 1), ''), '2026') AS year FROM t",
         "format_time": "WITH o AS (SELECT o_orderkey, o_custkey * 7 AS s FROM orders WHERE o_orderkey IS NOT NULL) SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.2fs', CAST(s AS DOUBLE)) WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s // 60 % 60) || 'm' END AS t FROM o",
-        "list_labels": "SELECT s_suppkey, repeat('M', s_suppkey // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][s_suppkey // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][s_suppkey // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][s_suppkey % 10 + 1] AS roman, chr(CAST(97 + (s_suppkey - 1) % 26 AS INT)) AS letter FROM supplier WHERE s_suppkey BETWEEN 1 AND 3999",
+        "list_labels": "SELECT s_suppkey, repeat('M', s_suppkey // 1000) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][s_suppkey // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][s_suppkey // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][s_suppkey % 10 + 1] AS roman, chr(CAST(97 + (s_suppkey - 1) % 26 AS INT)) AS letter FROM supplier WHERE s_suppkey >= 1",
         "first_wins_unique": "WITH s AS (SELECT DISTINCT subject_id, record_id, coalesce(subject, '') AS v FROM subjects), r AS (SELECT *, row_number() OVER (PARTITION BY record_id, lower(trim(v)) ORDER BY subject_id, v) AS k FROM s) SELECT record_id, string_agg(v, '|' ORDER BY subject_id, v) AS kept FROM r WHERE k = 1 GROUP BY 1",
         "stable_date_sort": "WITH o AS (SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY ALL) SELECT o_custkey, string_agg(d || ' ' || p, ';' ORDER BY d, k) AS dates FROM o GROUP BY 1",
         "records_gathered": f"WITH {LAST}, t AS (SELECT record_id, count(*) AS n FROM (SELECT DISTINCT * FROM titles) GROUP BY 1), c AS (SELECT record_id, count(*) AS n FROM (SELECT DISTINCT record_id, agent_id FROM creators) GROUP BY 1), s AS (SELECT record_id, count(*) AS n FROM (SELECT DISTINCT record_id, subject_id FROM subjects) GROUP BY 1), d AS (SELECT record_id, count(*) AS n FROM (SELECT DISTINCT record_id, description_id FROM descriptions) GROUP BY 1) SELECT l.record_id, l.doc_id, CAST(coalesce(t.n, 0) AS INT) AS n_titles, CAST(coalesce(c.n, 0) AS INT) AS n_creators, CAST(coalesce(s.n, 0) AS INT) AS n_subjects, CAST(coalesce(d.n, 0) AS INT) AS n_descriptions FROM last l LEFT JOIN t USING (record_id) LEFT JOIN c USING (record_id) LEFT JOIN s USING (record_id) LEFT JOIN d USING (record_id)",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +18,55 @@ def record_lists(records: DataFrame, names: DataFrame, key: str = "doc_id") -> D
     return lists.join(names, key).select(key, X.safe_name(F.col("name")).alias("doc_name"), "json")
 
 
-def provenance(docs: DataFrame, changes: DataFrame, findings: DataFrame, run: dict[str, str], key: str = "doc_id") -> DataFrame:
-    """(key, json): source fingerprint, run settings, changes, findings and the number of errors."""
-    c = changes.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("sample_idx", F.lit(-1)).alias("i"), "seq", "message"))), lambda x: x["message"]).alias("changes"))
-    f = findings.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("finding_no", F.struct("severity", "kind", "path", "value", "message").alias("x")))), lambda x: x["x"]).alias("findings"), F.count_if(F.col("severity") == "error").alias("errors"))
-    d = docs.select(key, F.sha2(empty(F.col("text")), 256).alias("sha"), F.length("text").alias("chars")).join(c, key, "left").join(f, key, "left")
-    return d.select(key, F.to_json(F.struct(F.col("sha").alias("sourceSha256"), F.col("chars").alias("sourceChars"), F.create_map(*[F.lit(x) for kv in sorted(run.items()) for x in kv]).alias("run"), F.coalesce("changes", F.array().cast("array<string>")).alias("changes"), F.col("findings"), F.coalesce("errors", F.lit(0)).alias("errorCount"))).alias("json"))
+def provenance(docs: DataFrame, changes: DataFrame, findings: DataFrame, run: dict[str, str], passes: DataFrame | None = None, enrichment: DataFrame | None = None, evaluation: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """(key, json): how a document's records came about.
+
+    docs: (key, text[, filename, format, warnings]), whose further columns describe the source; passes: (key,
+    pass, and whatever is told of a call); enrichment and evaluation: (key, json), a JSON object each. Parts
+    that a document doesn't have are empty lists or null.
+    """
+    told = [c for c in ("filename", "format", "warnings") if c in docs.columns]
+    source = docs.select(key, F.struct(*told, F.sha2(empty(F.col("text")), 256).alias("sha256"), F.length(empty(F.col("text"))).alias("chars")).alias("source"))
+    ordered = lambda df, at, what: df.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*at, what.alias("x")))), lambda v: v["x"]).alias("xs"))
+    said = ordered(changes, [F.coalesce("sample_idx", F.lit(-1)).alias("i"), F.col("seq")], F.col("message")).withColumnRenamed("xs", "postprocessing")
+    issues = ordered(findings, [F.col("finding_no")], F.struct("severity", "kind", "path", "value", "message")).withColumnRenamed("xs", "findings")
+    errors = findings.groupBy(key).agg(F.count_if(F.col("severity") == "error").alias("n_errors"))
+    d = source.join(said, key, "left").join(issues, key, "left").join(errors, key, "left")
+    parts = {}
+    if passes is not None:
+        calls = passes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*["pass", *(c for c in passes.columns if c not in (key, "pass"))]))).alias("passes"))
+        d = d.join(calls, key, "left")
+    for name, part in (("enrichment", enrichment), ("evaluation", evaluation)):
+        if part is not None:
+            d = d.join(part.select(key, F.parse_json("json").alias(name)), key, "left")
+        parts[name] = F.col(name) if part is not None else F.lit(None).cast("variant")
+    settings = [F.lit(v).alias(k) for k, v in sorted(run.items())]
+    fields = [F.col("source"), (F.coalesce("passes", F.array()) if passes is not None else F.array().cast("array<string>")).alias("passes"), F.coalesce("postprocessing", F.array().cast("array<string>")).alias("postprocessing"), *[c.alias(n) for n, c in parts.items()], F.struct(F.coalesce("findings", F.array()).alias("findings"), F.coalesce("n_errors", F.lit(0)).alias("errorCount")).alias("validation")]
+    return d.select(key, F.to_json(F.struct(*settings, *fields)).alias("json"))
+
+
+def with_enrichment(sidecars: DataFrame, changes: DataFrame, findings: DataFrame, status: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, json): finished sidecars with what a later enrichment changed, found and how its look-ups went.
+
+    sidecars: (key, json); changes: (key, message); findings: (key, severity, kind, path, value, message); status:
+    one row. Changes and findings are appended, the number of errors stays as it was counted.
+    """
+    more = changes.groupBy(key).agg(F.array_sort(F.collect_set("message")).alias("messages"))
+    found = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("severity", "kind", "path", "value", "message"))).alias("new_findings"))
+    d = sidecars.join(more, key, "left").join(found, key, "left").join(F.broadcast(status.select(F.to_json(F.struct(*status.columns)).alias("status"))))  # one row
+
+    @F.arrow_udf("string")
+    def put(json_: pa.Array, messages: pa.Array, new: pa.Array, state: pa.Array) -> pa.Array:
+        out = []
+        for text, said, issues, how in zip(json_.to_pylist(), messages.to_pylist(), new.to_pylist(), state.to_pylist()):
+            whole = json.loads(text)
+            whole.setdefault("postprocessing", []).extend(said or [])
+            whole["enrichment"] = json.loads(how)
+            whole.setdefault("validation", {"findings": [], "errorCount": 0})["findings"].extend(issues or [])
+            out.append(json.dumps(whole, ensure_ascii=False))
+        return pa.array(out, pa.string())
+
+    return d.select(key, put("json", "messages", "new_findings", "status").alias("json"))
 
 
 def report(record: Column) -> Column:
@@ -37,3 +83,25 @@ def report(record: Column) -> Column:
 def write_json(lists: DataFrame, path: str) -> None:
     """One folder per document name, each with its text file of JSON; replaces what was there."""
     lists.select("doc_name", F.col("json").alias("value")).write.mode("overwrite").partitionBy("doc_name").text(path)
+
+
+def write_named(texts: DataFrame, path: str, ending: str) -> None:
+    """Files NAME + ending under a folder, one a row of (doc_name, value); what was there is replaced.
+
+    Written from the tasks through the file system of ``path``; the folder must be one that all share.
+    """
+    root = path.removeprefix("file:")
+
+    def run(batches):
+        import os
+
+        os.makedirs(root, exist_ok=True)
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = os.path.join(root, name + ending)
+                with open(at + ".part", "w", encoding="utf-8") as f:
+                    f.write(value)
+                os.replace(at + ".part", at)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["doc_name"])
+
+    texts.select("doc_name", "value").mapInArrow(run, "doc_name string").write.format("noop").mode("overwrite").save()
