@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithoflow.session import materialise
+
 BLOCK = 50_000
 LEAST_COSINE, LEAST_SCORE, MARGIN = 0.15, 0.7, 0.03
 
@@ -330,5 +332,6 @@ def find(rows: DataFrame, reference: DataFrame, key: str, label: str = "label",
     kept = rows.where(F.col("value").rlike(r"(?U)[^\s\x1c-\x1f]")).join(labels, "value", "left_anti")
     distinct = kept.select("value").distinct()
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    mapped = map_values(distinct.repartition(n), strings(reference, key, label, aliases))
+    # Written once: what a value means is costly to tell, and the join below may read it again.
+    mapped = materialise(map_values(materialise(distinct.repartition(n)), strings(reference, key, label, aliases)))
     return kept.join(mapped, "value").select("row_id", "value", "ref_id").dropDuplicates(["row_id"])
