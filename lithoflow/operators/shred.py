@@ -1,8 +1,9 @@
 """Shredding of nested JSON into an adjacency table and from there into flat entity tables.
 
-``shred`` stores every value of every payload as one row (node, parent, label, ordinal, scalar).
-``entities`` joins object nodes with their scalar children and pivots them into one table per
-entity, each row keeping the positions of its record and of its parent.
+``shred`` stores every value of every payload as one row (node, parent, label, ordinal, scalar), with
+the positions of its record and of the element that owns it. ``entities`` joins the object nodes with
+their scalar children, pivoted to columns, once for all entities, and tells them apart by their place;
+each row keeps the positions of its record and of its parent.
 
 Defined results:
 
@@ -24,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE_SCHEMA = "row_key bigint, node int, parent int, label string, ordinal int, kind string, scalar string"
-_ARROW = pa.schema([("row_key", pa.int64()), ("node", pa.int32()), ("parent", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string())])
+#: place: labels from the record down to the node, null below PLACES of them; pos: position in its list, 0 for a
+#: value alone; owner_pos: that of the object around it.
+NODE_SCHEMA = "row_key bigint, node int, parent int, label string, ordinal int, kind string, scalar string, record_pos int, place string, pos int, owner_pos int"
+_ARROW = pa.schema([("row_key", pa.int64()), *((n, pa.string() if n in ("label", "kind", "scalar", "place") else pa.int32()) for n in ("node", "parent", "label", "ordinal", "kind", "scalar", "record_pos", "place", "pos", "owner_pos"))])
+PLACES = 3
 
 #: Keys under which senders wrap their records; parameters of shred().
 LIST_ENVELOPES = ("records", "data", "content", "items")
@@ -104,48 +108,34 @@ def shred(df: DataFrame, key: str, payload: str, lists: Sequence[str] = LIST_ENV
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[] for _ in _ARROW]
             for row_key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 value = parse(text)
                 if value is None:
                     continue
                 n = 0
-                stack = [(r, -1, "record", i) for i, r in enumerate(unwrap(value, lists, objects, keys))]
+                # value, parent, label, ordinal, record, place, position, owner's position, lists around it
+                stack = [(r, -1, "record", i, i, "", i, -1, 1) for i, r in enumerate(unwrap(value, lists, objects, keys))]
                 stack.reverse()
                 while stack:
-                    value, parent, label, ordinal = stack.pop()
+                    value, parent, label, ordinal, record, place, pos, owner, depth = stack.pop()
                     is_obj, is_list = isinstance(value, dict), isinstance(value, list)
-                    for c, v in zip(cols, (row_key, n, parent, _text(label), ordinal, "object" if is_obj else "array" if is_list else "scalar", None if is_obj or is_list else _text(value))):
+                    row = (row_key, n, parent, _text(label), ordinal, "object" if is_obj else "array" if is_list else "scalar", None if is_obj or is_list else _text(value), record, place, pos, owner)
+                    for c, v in zip(cols, row):
                         c.append(v)
                     if is_obj:
-                        stack.extend((v, n, k, i) for i, (k, v) in enumerate(value.items()) if keep is None or parent >= 0 or k in keep)
+                        inner = place is not None and place.count("/") < PLACES
+                        stack.extend((v, n, k, i, record, f"{place}/{_text(k)}" if inner else None, 0, pos, 0) for i, (k, v) in enumerate(value.items()) if keep is None or parent >= 0 or k in keep)
                     elif is_list:
-                        stack.extend((v, n, label, i) for i, v in enumerate(value))
+                        # Lists within lists hold no elements of their own.
+                        within = place if depth == 0 or place is None else f"{place}:"
+                        stack.extend((v, n, label, i, record, within, i, owner, depth + 1) for i, v in enumerate(value))
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW)], schema=_ARROW)
 
     return df.select(F.col(key).cast("bigint"), F.col(payload).cast("string")).mapInArrow(run, NODE_SCHEMA)
 
 
-def _elements(nodes: DataFrame, parents: DataFrame, label: str) -> DataFrame:
-    """The elements of the list ``label`` of each parent: (row_key, node, kind, scalar, pos, ...)."""
-    held = nodes.where(F.col("label") == label).select("row_key", F.col("node").alias("l_node"), F.col("parent").alias("p_node"), F.col("kind").alias("l_kind"), F.col("scalar").alias("l_scalar"), "ordinal")
-    lists = parents.join(held, ["row_key", "p_node"]).drop("ordinal")
-    alone = lists.where(F.col("l_kind") != "array").select("*", F.col("l_node").alias("node"), F.lit(0).alias("pos"), F.col("l_kind").alias("kind"), F.col("l_scalar").alias("scalar"))
-    items = nodes.where(F.col("label") == label).select("row_key", "node", F.col("parent").alias("l_node"), F.col("ordinal").alias("pos"), "kind", "scalar")
-    many = lists.where(F.col("l_kind") == "array").join(items, ["row_key", "l_node"])
-    return alone.unionByName(many.select(alone.columns)).drop("l_node", "l_kind", "l_scalar", "p_node")
-
-
-def _fields(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Scalar children of objects, one column per name."""
-    return (
-        nodes.where((F.col("kind") == "scalar") & F.col("label").isin(*names) & F.col("scalar").isNotNull())
-        .groupBy("row_key", F.col("parent").alias("node"))
-        .agg(*[F.max(F.when(F.col("label") == n, F.col("scalar"))).alias(f"f_{n}") for n in names])
-    )
-
-
 def _main(field: str) -> Column:
     """An element's main field; plain text in place of the object is that field."""
     return F.when(F.col("kind") == "scalar", F.col("scalar")).otherwise(F.col(f"f_{field}"))
@@ -161,27 +151,39 @@ IDENTIFIER_FIELDS = ("nameIdentifier", "nameIdentifierScheme", "schemeURI")
 RELATED_FIELDS = ("relatedIdentifier", "relatedIdentifierType", "relationType", "resourceTypeGeneral")
 
 
+#: Entity -> place of its elements, its fields (the main one first).
+ENTITIES = {
+    "creator": ("/creators", CREATOR_FIELDS),
+    "affiliation": ("/creators/affiliation", AFFILIATION_FIELDS),
+    "nameidentifier": ("/creators/nameIdentifiers", IDENTIFIER_FIELDS),
+    "relatedidentifier": ("/relatedIdentifiers", RELATED_FIELDS),
+}
+
+
+def elements(nodes: DataFrame) -> DataFrame:
+    """All elements with a value: row_key, entity, record_pos, parent_pos (the creator's position, -1 where
+    the parent is the record), item_pos and every entity's fields as f_... columns."""
+    names = sorted({f for _, fields in ENTITIES.values() for f in fields})
+    scalars = nodes.where((F.col("kind") == "scalar") & F.col("label").isin(*names) & F.col("scalar").isNotNull() & (F.col("parent") >= 0))
+    fields = scalars.groupBy("row_key", F.col("parent").alias("node")).agg(*[F.max(F.when(F.col("label") == n, F.col("scalar"))).alias(f"f_{n}") for n in names])
+    pick = lambda f: F.coalesce(*[F.when(F.col("place") == place, f(name, own)) for name, (place, own) in ENTITIES.items()])
+    items = nodes.where(F.col("place").isin(*[p for p, _ in ENTITIES.values()]) & (F.col("kind") != "array")).select("row_key", "node", "kind", "scalar", "record_pos", "pos", "owner_pos", "place")
+    joined = items.join(fields, ["row_key", "node"], "left").withColumn("main", pick(lambda _, own: _main(own[0])))
+    nested_in = F.when(F.col("place").startswith("/creators/"), F.col("owner_pos")).otherwise(-1)
+    position = lambda c, name: c.cast("bigint").alias(name)
+    return joined.where(non_blank(F.col("main"))).select("row_key", pick(lambda name, _: F.lit(name)).alias("entity"), position(F.col("record_pos"), "record_pos"), position(nested_in, "parent_pos"), position(F.col("pos"), "item_pos"), "main", *[f"f_{n}" for n in names])
+
+
 def entities(nodes: DataFrame) -> dict[str, DataFrame]:
     """Flat tables creator, affiliation, nameidentifier and relatedidentifier.
 
-    Every row has row_key, record_pos, parent_pos (the creator's position, -1 where the parent is
-    the record), item_pos and the fields. ``nodes`` is used several times: materialise it first.
+    Every row has row_key, record_pos, parent_pos, item_pos and the entity's fields.
     """
-    records = nodes.where(F.col("parent") == -1).select("row_key", F.col("node").alias("p_node"), F.col("ordinal").alias("record_pos"))
-    creators = _elements(nodes, records, "creators")
-    related = _elements(nodes, records, "relatedIdentifiers")
-    holders = creators.where(F.col("kind") == "object").select("row_key", F.col("node").alias("p_node"), "record_pos", F.col("pos").alias("parent_pos"))
-
-    def table(items: DataFrame, names: Sequence[str], parent: Column) -> DataFrame:
-        joined = items.join(_fields(nodes, names), ["row_key", "node"], "left")
-        return joined.select("row_key", F.col("record_pos").cast("bigint").alias("record_pos"), parent.cast("bigint").alias("parent_pos"), F.col("pos").cast("bigint").alias("item_pos"), _main(names[0]).alias(names[0].lower()), *[F.col(f"f_{n}").alias(n.lower()) for n in names[1:]]).where(non_blank(F.col(names[0].lower())))
-
-    return {
-        "creator": table(creators, CREATOR_FIELDS, F.lit(-1)),
-        "affiliation": table(_elements(nodes, holders, "affiliation"), AFFILIATION_FIELDS, F.col("parent_pos")),
-        "nameidentifier": table(_elements(nodes, holders, "nameIdentifiers"), IDENTIFIER_FIELDS, F.col("parent_pos")),
-        "relatedidentifier": table(related, RELATED_FIELDS, F.lit(-1)),
-    }
+    every = elements(nodes)
+    out = {}
+    for name, (_, own) in ENTITIES.items():
+        out[name] = every.where(F.col("entity") == name).select("row_key", "record_pos", "parent_pos", "item_pos", F.col("main").alias(own[0].lower()), *[F.col(f"f_{f}").alias(f.lower()) for f in own[1:]])
+    return out
 
 
 def found(df: DataFrame, key: str, payload: str) -> DataFrame:
@@ -189,8 +191,4 @@ def found(df: DataFrame, key: str, payload: str) -> DataFrame:
     from lithoflow.session import materialise
 
     nodes = materialise(shred(df.dropDuplicates([key]), key, payload, labels=("creators", "relatedIdentifiers")))
-    out = None
-    for kind, t in entities(nodes).items():
-        part = t.select(F.col("row_key").alias(key), "record_pos", F.lit(kind).alias("kind"), "parent_pos", "item_pos")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return elements(nodes).select(F.col("row_key").alias(key), "record_pos", F.col("entity").alias("kind"), "parent_pos", "item_pos")
