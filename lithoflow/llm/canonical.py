@@ -100,10 +100,12 @@ def word_similarity(typed: str, word: str) -> float:
         return 0.85
     if _RUNS.sub(r"\1", typed) == _RUNS.sub(r"\1", word) or typed in (word + "s", word + "in") or typed + "s" == word:
         return 0.95
-    d = edits(typed, word)
-    if d > 1 and typed[0] == word[0] and sorted(typed) == sorted(word):
-        d = 1
     most = 1 if n < 6 or m < 4 else 2 if n < 13 or typed[:2] != word[:2] else 3
+    # An edit changes the length by one and the set of letters by two at most.
+    near = abs(m - n) <= most and len(_chars(typed) ^ _chars(word)) <= 2 * most
+    d = edits(typed, word) if near else most + 1
+    if d > 1 and near and typed[0] == word[0] and sorted(typed) == sorted(word):
+        d = 1
     if d <= most and (m > 3 or typed[0] == word[0]):
         return 1 - d / (n + 2)
     if 3 < m < 7 and n > m + 1 and typed[0] == word[0] and any(edits(typed, word[:k]) <= 1 for k in (m - 1, m, m + 1)):
@@ -113,6 +115,11 @@ def word_similarity(typed: str, word: str) -> float:
     return 0.0
 
 
+@lru_cache(200_000)
+def _chars(word: str) -> frozenset[str]:
+    return frozenset(word)
+
+
 def _within(typed: str, word: str) -> bool:
     """The letters of ``typed`` stand in ``word`` in the same order."""
     rest = iter(word)
@@ -180,6 +187,10 @@ class Index:
         self.entries = sorted(folded, key=lambda x: (x[1], x[0]))
         self.words = [telling(t) for _, t in self.entries]
         self.weights = weights
+        # Of each entry its words with their squared weights, longest first, their sum, and all in one.
+        self.parts = [[(w, weights.word(w) ** 2) for w in sorted(ws, key=len, reverse=True)] for ws in self.words]
+        self.norms = [sum(x for _, x in part) for part in self.parts]
+        self.joined = ["".join(ws) for ws in self.words]
         self.gram = {g: weights.gram(g) for g in weights.grams}
         self.rare = weights.gram("")
         norms = np.zeros(max(len(self.entries), 1))
@@ -209,25 +220,27 @@ class Index:
         Both vectors have a word's rarity as its weight. Words that the entry doesn't have are in the
         reading's vector unless they are numbers, remarks or small words, which tell no entries apart.
         """
+        return self._score([w for w in reading.split() if w not in STOP], reading, k)
+
+    def _score(self, typed: list[str], reading: str, k: int) -> float:
         words = self.words[k]
-        typed = [w for w in reading.split() if w not in STOP]
         if len(words) == 1 and len(words[0]) <= 8 and words[0] not in reading:  # short names and acronyms
             one = "".join(typed)
             s = word_similarity(one, words[0]) if len(words[0]) > 3 and one[:1] == words[0][:1] or len(words[0]) > 4 else 0.0
             if not any(c.isdigit() for c in one) and s and (len(typed) == 1 or len(one) > 4):
                 return s * (1 if len(typed) == 1 else 0.95)
-        product = own = 0.0
-        free = list(typed)
-        for w in sorted(words, key=len, reverse=True):
-            weight = self.weights.word(w) ** 2
+        product = 0.0
+        free = typed.copy()
+        for w, weight in self.parts[k]:
             best, at = 0.0, -1
             for j, v in enumerate(free):
                 s = word_similarity(v, w)
                 if s > best:
                     best, at = s, j
+                    if s == 1.0:
+                        break
             if at < 0:
-                return self._squashed(typed, words)
-            own += weight
+                return self._squashed(typed, k)
             product += weight * best
             free.pop(at)
         other = 0.0
@@ -235,6 +248,7 @@ class Index:
             if v.isdigit() or v in REMARKS or len(v) == 1 or small(v) or any(word_similarity(v, w) for w in words):
                 continue
             other += max((self.weights.word(w) for w in self.near_words(v)), default=self.weights.word("")) ** 2
+        own = self.norms[k]
         return product / math.sqrt(own * (own + other)) if own else 0.0
 
     @lru_cache(100_000)
@@ -243,12 +257,12 @@ class Index:
             return (typed,)
         return tuple(w for w in self.weights.words if abs(len(w) - len(typed)) < 3 and word_similarity(typed, w))
 
-    @staticmethod
-    def _squashed(typed: list[str], words: list[str]) -> float:
+    def _squashed(self, typed: list[str], k: int) -> float:
         """Similarity without the spaces, for words that ran together."""
-        a, b = "".join(typed), "".join(words)
-        if abs(len(a) - len(b)) > 3 or len(b) < 8 or len(typed) == len(words):
+        b = self.joined[k]
+        if len(b) < 8 or len(typed) == len(self.words[k]) or abs(sum(map(len, typed)) - len(b)) > 3:
             return 0.0
+        a = "".join(typed)
         most = max(1, len(b) // 5)
         if max(len(a), len(b)) - (letters(a) & letters(b)).total() > most:  # an edit changes one letter at most
             return 0.0
@@ -259,8 +273,9 @@ class Index:
         """Score of the verified entries of a value."""
         scores: dict[int, float] = {}
         for r in readings(value):
+            typed = [w for w in r.split() if w not in STOP]
             for k in self.candidates(r):
-                if s := self.score(r, k):
+                if s := self._score(typed, r, k):
                     i = self.entries[k][0]
                     scores[i] = max(scores.get(i, 0), s)
         return scores
