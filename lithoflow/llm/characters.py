@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithoflow.session import materialise
+
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC_LATIN = dict(zip("АВЕКМНОРСТУХІЅЈаеорсухіѕјһԁԛԝ", "ABEKMHOPCTYXISJaeopcyxisjhdqw"))
 GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ", "ABEZHIKMNOPTYXaikvopux"))
@@ -184,7 +186,8 @@ def plain_forms(values: DataFrame) -> DataFrame:
     script = rf"[{JOINING}]"
     stray = F.regexp_replace("text", rf"(?<!{script})[{ZWNJ}{ZWJ}]|[{ZWNJ}{ZWJ}](?![{ZWNJ}{ZWJ}]*{script})", "")
     stray = F.regexp_replace(stray, f"([{ZWNJ}{ZWJ}])[{ZWNJ}{ZWJ}]+", "$1")
-    built = built.withColumn("text", F.when(has, stray).otherwise(F.col("text")))
+    # Written once: words, values with joiners and the others are read from it.
+    built = materialise(built.withColumn("text", F.when(has, stray).otherwise(F.col("text"))))
     # ASCII values can't hold such words, so the values at hand hold all their uses.
     words = built.where(F.col("text").rlike(script)).select("n", F.explode(F.split("text", r"[^\p{L}\p{M}" + ZWNJ + ZWJ + "]+")).alias("word")).where(F.col("word").rlike(script)).groupBy("word").agg(F.sum("n").alias("n"))
     required = _required_joiners(words).groupBy("skeleton").agg(F.collect_set("at").alias("places"))
