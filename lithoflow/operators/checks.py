@@ -26,7 +26,7 @@ def leaves(c: Column, kind: T.DataType, path: Column) -> Column:
 
 
 def walk_json(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """(key, path, value) of the leaves of JSON of any shape, level by level as the JVM's variants."""
+    """(key, path, value) of the leaves of JSON of any shape, level by level, from the adjacency table of the shredder."""
     from lithoflow.operators.shred import shred
     from lithoflow.session import materialise
 
@@ -65,7 +65,7 @@ def unknown_identifiers(wide: DataFrame) -> DataFrame:
 
     found = [hits("orcid", P.ORCID, 0), hits("doi", P.DOI, 0), hits("ror", P.ROR, 1)]
     missing = F.filter(F.concat(*found), lambda x: ~X.contains(F.col("norm0"), X.norm0(x["value"])))
-    return _findings(wide, missing, "error", None, "identifier not found in the source document", 1)
+    return _findings(wide, missing, "error", None, "the document doesn't have this identifier", 1)
 
 
 def unknown_names(wide: DataFrame) -> DataFrame:
@@ -75,7 +75,7 @@ def unknown_names(wide: DataFrame) -> DataFrame:
         return F.filter(F.transform(people, lambda p, i: F.struct(F.concat(F.lit(f"{name}["), i.cast("string"), F.lit("].name")).alias("path"), family(p).alias("value"))), lambda x: (x["value"] != "") & ~X.contains(F.col("norm0"), X.norm0(x["value"])))
 
     items = F.concat(of(listed(F.col("record.creators")), "creators"), of(without_curators(F.col("record.contributors")), "contributors"))
-    return _findings(wide, items, "error", "creator-name", "name not found in the source document", 2)
+    return _findings(wide, items, "error", "creator-name", "the document doesn't have this family name", 2)
 
 
 def fixed_fields(wide: DataFrame, policy: P.Policy | None = None) -> DataFrame:
@@ -83,7 +83,7 @@ def fixed_fields(wide: DataFrame, policy: P.Policy | None = None) -> DataFrame:
     policy = policy or P.Policy()
     one = lambda path, c, v: F.when(~c.eqNullSafe(F.lit(v)), F.struct(F.lit(path).alias("path"), empty(c).alias("value")))
     items = F.filter(F.array(one("schemaVersion", F.col("record.schemaVersion"), policy.schema_version), one("publisher.name", F.col("record.publisher.name"), policy.publisher["name"])), lambda x: x.isNotNull())
-    return _findings(wide, items, "warning", "fixed-field", "fixed field was changed", 3)
+    return _findings(wide, items, "warning", "fixed-field", "not the value that the repository sets", 3)
 
 
 def date_in_source(value: Column, norm0: Column) -> Column:
@@ -94,7 +94,7 @@ def date_in_source(value: Column, norm0: Column) -> Column:
 
 def unknown_dates(wide: DataFrame) -> DataFrame:
     items = F.filter(F.transform(listed(F.col("record.dates")), lambda d, i: F.struct(F.concat(F.lit("dates["), i.cast("string"), F.lit("].date")).alias("path"), empty(d["date"]).alias("value"))), lambda x: ~date_in_source(x["value"], F.col("norm0")))
-    return _findings(wide, items, "warning", "date", "date not found in the source document, please check", 4)
+    return _findings(wide, items, "warning", "date", "the document writes this date in no known form", 4)
 
 
 def new_numbers(text: Column, source_numbers: Column) -> Column:
@@ -106,13 +106,13 @@ def unknown_numbers(wide: DataFrame) -> DataFrame:
     first = F.struct(F.lit("titles[0].title").alias("path"), empty(F.get(F.col("record.titles"), F.lit(0))["title"]).alias("t"))
     texts = F.concat(F.array(first), F.transform(listed(F.col("record.descriptions")), lambda d, i: F.struct(F.concat(F.lit("descriptions["), i.cast("string"), F.lit("].description")).alias("path"), empty(d["description"]).alias("t"))))
     items = F.filter(F.transform(texts, lambda x: F.struct(x["path"].alias("path"), new_numbers(x["t"], F.col("numbers")).alias("value"))), lambda x: x["value"] != "")
-    return _findings(wide, items, "warning", "number", "number(s) not found in the source document, please check", 5)
+    return _findings(wide, items, "warning", "number", "the document doesn't have these numbers", 5)
 
 
 def created_dates(wide: DataFrame) -> DataFrame:
     made = F.filter(listed(F.col("record.dates")), lambda d: d["dateType"] == "Created")
     items = F.when(F.size(made) > 1, F.array(F.struct(F.lit("dates").alias("path"), F.array_join(F.transform(made, lambda d: empty(d["date"])), ", ").alias("value")))).otherwise(F.array().cast("array<struct<path:string,value:string>>"))
-    return _findings(wide, items, "warning", "dates", "more than one Created date, please check which event created the sample", 6)
+    return _findings(wide, items, "warning", "dates", "several dates of creation, only one can be right", 6)
 
 
 def missing_identifiers(wide: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def missing_identifiers(wide: DataFrame) -> DataFrame:
 
     found = [of("orcid", P.ORCID), of("doi", P.DOI)]
     items = X.let(told, lambda t: F.filter(F.concat(*found), lambda x: ~X.contains(t, X.norm0(x["value"]))))
-    return _findings(wide, items, "warning", None, "in the document but not in the record, was it missed?", 7)
+    return _findings(wide, items, "warning", None, "the document has it, the record doesn't", 7)
 
 
 def duplicate_titles(titles: DataFrame, group: str = "doc_id", position: str = "sample_idx", title: str = "title") -> DataFrame:
@@ -142,7 +142,7 @@ def duplicate_titles(titles: DataFrame, group: str = "doc_id", position: str = "
 def model_notes(texts: DataFrame) -> DataFrame:
     """Non-blank doubts that the model noted. texts: (doc_id, sample_idx, written)."""
     items = F.transform(F.filter(listed(F.col("written.issues")), lambda i: F.trim(empty(i)) != ""), lambda i: F.struct(F.lit("").alias("path"), F.trim(i).alias("value")))
-    return _findings(texts, items, "warning", "model-note", "noted by the model", 0)
+    return _findings(texts, items, "warning", "model-note", "doubt of the model", 0)
 
 
 def check_all(records: DataFrame, prepared: DataFrame, texts: DataFrame | None = None, policy: P.Policy | None = None) -> DataFrame:
@@ -150,7 +150,7 @@ def check_all(records: DataFrame, prepared: DataFrame, texts: DataFrame | None =
     wide = records.join(prepared.select("doc_id", "text", "norm0", "numbers"), "doc_id", "left")
     rules = [unknown_identifiers(wide), unknown_names(wide), fixed_fields(wide, policy), unknown_dates(wide), unknown_numbers(wide), created_dates(wide), missing_identifiers(wide)]
     same = duplicate_titles(records.select("doc_id", "sample_idx", F.get(F.col("record.titles"), F.lit(0))["title"].alias("title")))
-    rules.append(same.select("doc_id", "sample_idx", F.lit("warning").alias("severity"), F.lit("duplicate-title").alias("kind"), F.lit("titles[0]").alias("path"), "value", F.concat(F.lit("same title as sample "), (F.col("first_idx") + 1).cast("string"), F.lit(", samples must be distinguishable")).alias("message"), F.lit(-1).alias("rule"), F.lit(0).alias("seq")))
+    rules.append(same.select("doc_id", "sample_idx", F.lit("warning").alias("severity"), F.lit("duplicate-title").alias("kind"), F.lit("titles[0]").alias("path"), "value", F.concat(F.lit("title of sample "), (F.col("first_idx") + 1).cast("string"), F.lit(" again")).alias("message"), F.lit(-1).alias("rule"), F.lit(0).alias("seq")))
     if texts is not None:
         rules.append(model_notes(texts))
     out = rules[0]

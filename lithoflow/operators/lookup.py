@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lithoflow import policy as P
 from lithoflow.functions import python as Y
 from lithoflow.operators.records import empty, listed
 from lithoflow.session import materialise
@@ -24,11 +25,12 @@ def url_key(url: Column) -> Column:
     return F.left(F.sha2(url, 256), F.lit(24))
 
 
-def resolve(urls: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame]:
+def resolve(urls: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None] | None = None, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
     """(answers, new cache rows) for the distinct ``urls`` (url). answers: (url, payload, error).
 
     ``fetch`` gets a URL and gives a payload, ``{}`` for "not found"; after a ConnectionError the rest
-    of the task's URLs are not tried. Without ``fetch`` only the cache answers.
+    of the task's URLs are not tried. ``parallel`` tasks ask at once, so a registry that is down is tried
+    that often at most. Without ``fetch`` only the cache answers.
     """
     wanted = urls.select("url").where(F.col("url").isNotNull()).distinct().withColumn("url_key", url_key(F.col("url")))
     hits = wanted.join(cache.dropDuplicates(["url_key"]), "url_key").select("url", "payload", F.lit(None).cast("string").alias("error"))
@@ -55,7 +57,7 @@ def resolve(urls: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.string()), pa.array(errors, pa.string())], names=["url_key", "url", "payload", "error"])
 
     misses = wanted.join(cache.select("url_key"), "url_key", "left_anti").select("url_key", "url")
-    fetched = materialise(misses.mapInArrow(run, "url_key string, url string, payload string, error string"))
+    fetched = materialise(misses.repartition(parallel).mapInArrow(run, "url_key string, url string, payload string, error string"))
     return hits.unionByName(fetched.select("url", "payload", "error")), fetched.where(F.col("payload").isNotNull()).select("url_key", "payload")
 
 
@@ -127,16 +129,37 @@ def status(answers: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(ranked.agg(F.array_sort(F.collect_list("error")).alias("errors"))))  # one row each
 
 
-def enrich_records(records: DataFrame, names: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records, changes, findings) with registered names and organisation identifiers put in.
+# The registries' addresses.
+PERSON_URL, ORGANISATION_URL = "https://pub.orcid.org/v3.0/{}/person", "https://api.ror.org/v2/organizations?affiliation={}"
+
+
+def registries(records: DataFrame, cache: DataFrame, fetch: Callable[[str], str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(names, known, new cache rows, status) that enrich_records() takes, asked for the identifiers and
+    affiliations of the records (.., record); answered from the cache where it knows the address."""
+    told = lambda role: F.transform(listed(F.col(f"record.{role}")), lambda p: F.struct(p["nameIdentifiers"].alias("nameIdentifiers"), p["affiliation"].alias("affiliation")))
+    people = records.select(F.explode(F.concat(told("creators"), told("contributors"))).alias("p"))
+    people = materialise(people.select("p.nameIdentifiers", "p.affiliation"))
+    orcids = people.select(F.explode("nameIdentifiers").alias("i")).select(F.regexp_extract(empty(F.col("i.nameIdentifier")), P.ORCID, 0).alias("orcid")).where("orcid <> ''").distinct()
+    places = people.select(F.explode("affiliation").alias("a")).where((empty(F.col("a.name")) != "") & (empty(F.col("a.affiliationIdentifier")) == "")).select(F.col("a.name").alias("text")).distinct()
+    address = lambda pattern, c: F.concat(F.lit(pattern.split("{}")[0]), c, F.lit(pattern.split("{}")[1]))
+    orcids = orcids.withColumn("url", address(PERSON_URL, F.col("orcid")))
+    places = places.withColumn("url", address(ORGANISATION_URL, F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))))
+    answers, fresh = resolve(orcids.select("url").unionByName(places.select("url")), cache, fetch)
+    answers = materialise(answers)
+    names = orcids.join(answers, "url").select("orcid", person_name(F.col("payload")).alias("registered")).where(F.col("registered").isNotNull())
+    known = organisation_names(places.join(answers, "url").select("text", "payload")).select("text", "ror", F.col("name").alias("label"))
+    return names, known, fresh, status(answers)
+
+
+def enrich_records(records: DataFrame, names: DataFrame, known: DataFrame, online: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, changes, findings) with registered names and organisation identifiers put in. Only
+    ``online`` does a missing organisation mean that the registry has none, which is told then.
 
     records: (doc_id, sample_idx, record); names: (orcid, registered STRUCT<given, family>); known:
     (text, ror, label). Data curators stay as they are. People and their affiliations are exploded as
     narrow rows, joined, and laid back into their places by position; the records' other parts and
     texts don't travel. Each message comes once per document.
     """
-    from lithoflow import policy as P
-
     place = ["doc_id", "sample_idx", "role", "pos"]
     rows = None
     for role in ("creators", "contributors"):
@@ -168,11 +191,11 @@ def enrich_records(records: DataFrame, names: DataFrame, known: DataFrame) -> tu
 
     for role in ("creators", "contributors"):
         out = out.withColumn("record", F.col("record").withField(role, laid(role)))
-    told = done.where("changed").select("doc_id", F.concat(empty(F.col("before")), F.lit(" -> "), "name", F.lit(" (ORCID record)")).alias("message"))
+    told = done.where("changed").select("doc_id", F.concat(empty(F.col("before")), F.lit(" -> "), "name", F.lit(" as registered")).alias("message"))
     owner = done.select("person_id", "doc_id")
     of = placed.select(F.col("affiliation_id.person_id").alias("person_id"), "status", "text", "name", "affiliationidentifier").join(owner, "person_id")
     told = told.unionByName(of.where("status = 'matched'").select("doc_id", F.concat(F.lit("affiliation '"), "text", F.lit("' -> "), "name", F.lit(" ("), "affiliationidentifier", F.lit(")")).alias("message")))
-    told = told.unionByName(of.where("status = 'unmatched'").select("doc_id", F.concat(F.lit("no unambiguous ROR match for affiliation '"), "text", F.lit("'")).alias("message")))
-    findings = done.where("differs").select("doc_id", "sample_idx", F.lit("warning").alias("severity"), F.lit("orcid-name").alias("kind"), F.concat("role", F.lit("["), F.col("pos").cast("string"), F.lit("].name")).alias("path"), F.concat(empty(F.col("before")), F.lit(" -> "), "name").alias("value"), F.lit("family name in the document differs from the ORCID record, please check").alias("message"))
+    told = told.unionByName(of.where((F.col("status") == "unmatched") & F.lit(online)).select("doc_id", F.concat(F.lit("no registered organisation is clearly meant by '"), "text", F.lit("'")).alias("message")))
+    findings = done.where("differs").select("doc_id", "sample_idx", F.lit("warning").alias("severity"), F.lit("orcid-name").alias("kind"), F.concat("role", F.lit("["), F.col("pos").cast("string"), F.lit("].name")).alias("path"), F.concat(empty(F.col("before")), F.lit(" -> "), "name").alias("value"), F.lit("another family name is registered under this identifier").alias("message"))
     return out.select(*records.columns), told.distinct(), findings
 

@@ -6,7 +6,7 @@ distinct key. Failures are rows with an error and never stop the others.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,7 @@ from lithoflow import schemas as S
 from lithoflow.functions import text as X
 from lithoflow.operators.records import empty, listed
 from lithoflow.session import materialise
+from lithoflow.streaming.loops import loop_reason
 
 
 def extraction_prompt(text: Column, template: str, most: int = P.PROMPT_CHARS) -> Column:
@@ -68,11 +69,30 @@ def cache_key(prompt: Column, model: str, schema: str = "", options: str = "") -
     return F.sha2(F.to_json(F.struct(F.lit(model).alias("model"), F.lit(options).alias("options"), prompt.alias("prompt"), F.lit(schema).alias("schema"))), 256)
 
 
-def answer(prompts: DataFrame, cache: DataFrame, model: Callable[[str], str] | None = None, name: str = "model", parallel: int = 8) -> tuple[DataFrame, DataFrame]:
+def collected(answer: str | Iterable[str], most: int | None = None) -> tuple[str, str | None]:
+    """(text, reason to give it up) of an answer, which may come in chunks: these are no longer asked for
+    once the text runs in circles, looked at every P.LOOP_EVERY chunks, or has ``most`` chunks."""
+    if isinstance(answer, str):
+        return answer, None
+    text = ""
+    for n, chunk in enumerate(answer, 1):
+        text += chunk
+        reason = loop_reason(text) if n % P.LOOP_EVERY == 0 else None
+        if reason is None and most is not None and n >= most:
+            reason = f"stopped after {most} chunks"
+        if reason is not None:
+            if hasattr(answer, "close"):
+                answer.close()
+            return text, reason
+    return text, None
+
+
+def answer(prompts: DataFrame, cache: DataFrame, model: Callable[[str], str | Iterable[str]] | None = None, name: str = "model", parallel: int = 8, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(answers, new cache rows). prompts: (id, prompt); cache: (cache_key, content, model).
 
-    answers: (id, cache_key, content, cached, error). An answer that runs in circles is an error with
-    its text kept in ``partial``. At most ``parallel`` tasks call the model at once.
+    answers: (id, cache_key, content, cached, error, partial). The model gives its answer whole or in
+    chunks. An answer that runs in circles, or has ``most`` chunks, is an error with its text kept in
+    ``partial``. At most ``parallel`` tasks call the model at once.
     """
     keyed = prompts.withColumn("cache_key", cache_key(F.col("prompt"), name))
     known = keyed.join(cache.select("cache_key", "content").dropDuplicates(["cache_key"]), "cache_key").select("id", "cache_key", "content", F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("partial"))
@@ -81,20 +101,19 @@ def answer(prompts: DataFrame, cache: DataFrame, model: Callable[[str], str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contents, errors = [], []
+            rows: list[tuple[str | None, str | None, str | None]] = []  # content, error, partial
             for prompt in batch.column(1).to_pylist():
                 try:
-                    contents.append(model(prompt))
-                    errors.append(None)
+                    text, reason = collected(model(prompt), most)
+                    rows.append((text, None, None) if reason is None else (None, reason, text))
                 except Exception as e:  # noqa: BLE001 - one prompt's failure is its own
-                    contents.append(None)
-                    errors.append(str(e))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(contents, pa.string()), pa.array(errors, pa.string())], names=["cache_key", "content", "error"])
+                    rows.append((None, str(e), None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in zip(*rows))], names=["cache_key", "content", "error", "partial"])
 
     todo = keyed.join(cache.select("cache_key"), "cache_key", "left_anti").select("cache_key", "prompt").dropDuplicates(["cache_key"])
-    called = todo.repartition(parallel).mapInArrow(run, "cache_key string, content string, error string")
+    called = todo.repartition(parallel).mapInArrow(run, "cache_key string, content string, error string, partial string")
     loop = X.loop_reason(F.col("content"))
-    called = materialise(called.select("cache_key", F.when(loop.isNull(), F.col("content")).alias("content"), F.coalesce("error", loop).alias("error"), F.when(loop.isNotNull(), F.col("content")).alias("partial")))
+    called = materialise(called.select("cache_key", F.when(loop.isNull(), F.col("content")).alias("content"), F.coalesce("error", loop).alias("error"), F.coalesce("partial", F.when(loop.isNotNull(), F.col("content"))).alias("partial")))
     fresh = keyed.select("id", "cache_key").join(called, "cache_key").select("id", "cache_key", "content", F.lit(False).alias("cached"), "error", "partial")
     return known.unionByName(fresh), called.where(F.col("content").isNotNull()).select("cache_key", "content", F.lit(name).alias("model"))
 

@@ -39,12 +39,11 @@ def is_copied(text: Column, source: Column, haystack: Column, source_shingles: C
 def copy_ratios(docs: DataFrame, passages: DataFrame, least: float = P.LEAST_COPIED, doc_key: str = "doc_id", key: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_key, key, ratio): passages of which at least ``least`` of the four-word runs stand in the document.
 
-    An equi-join on hashed runs; the passages' side is small or not as the optimizer finds. Passages
-    of fewer than four words have no runs and are left out.
+    An equi-join on the runs' hashes of 64 bits, so no run travels as text; of a document only the runs that
+    some passage has get beyond the join. Passages of fewer than four words have no runs and are left out.
     """
-    runs = lambda df, k: df.select(k, F.explode(X.shingles(X.words(F.coalesce(F.col(text), F.lit(""))))).alias("run"))
+    runs = lambda df, k: df.select(k, F.explode(X.shingles(X.words(F.coalesce(F.col(text), F.lit(""))))).alias("run")).select(k, F.xxhash64("run").alias("run"))
     mine = runs(passages, key)
-    # The documents' runs are reduced to those that any passage has before they are shuffled.
     hit = runs(docs, doc_key).join(mine, "run").groupBy(doc_key, key).agg(F.count("*").alias("n"))
     sizes = mine.groupBy(key).agg(F.count("*").alias("total"))
     return hit.join(sizes, key).select(doc_key, key, (F.col("n") / F.col("total")).alias("ratio")).where(F.col("ratio") >= least)
@@ -150,18 +149,18 @@ def verify(df: DataFrame, key: str = "doc_id") -> DataFrame:
     new_people = F.transform(people, person)
     new_shared = F.struct(new_people.alias("creators"), keep(shared["preparation"]).alias("preparation"), F.transform(keep_subjects(shared["subjects"], written), subject).alias("subjects"), shared["dates"].alias("dates"), shared["relatedIdentifiers"].alias("relatedIdentifiers"))
 
-    dropped = lambda subjects, where: F.transform(keep_subjects(subjects, lambda v: ~written(v)), lambda v: F.concat(where, F.lit(": dropped keyword "), shown(v), F.lit(": not in the document")))
+    dropped = lambda subjects, where: F.transform(keep_subjects(subjects, lambda v: ~written(v)), lambda v: F.concat(where, F.lit(": dropped keyword "), shown(v), F.lit(": the document lacks it")))
     named = lambda p: F.coalesce(p["name"], F.lit(""))
-    added = F.transform(F.filter(F.transform(people, lambda p, i: F.struct(named(p).alias("n"), F.try_element_at(F.col("given"), i).alias("o"))), lambda x: x["o"].isNotNull()), lambda x: F.concat(F.lit("added ORCID "), x["o"], F.lit(" for "), x["n"], F.lit(": written next to the name, missed by the model")))
-    roles = F.transform(F.filter(F.zip_with(people, new_people, lambda a, b: F.struct(named(a).alias("n"), F.trim(F.coalesce(a["role"], F.lit(""))).alias("r"), F.coalesce(b["role"], F.lit("")).alias("q"))), lambda x: (x["r"] != "") & (x["q"] == "")), lambda x: F.concat(F.lit("dropped role "), shown(x["r"]), F.lit(" of "), x["n"], F.lit(": not next to the name in the document")))
+    added = F.transform(F.filter(F.transform(people, lambda p, i: F.struct(named(p).alias("n"), F.try_element_at(F.col("given"), i).alias("o"))), lambda x: x["o"].isNotNull()), lambda x: F.concat(F.lit("added ORCID "), x["o"], F.lit(" for "), x["n"], F.lit(", which stands beside the name")))
+    roles = F.transform(F.filter(F.zip_with(people, new_people, lambda a, b: F.struct(named(a).alias("n"), F.trim(F.coalesce(a["role"], F.lit(""))).alias("r"), F.coalesce(b["role"], F.lit("")).alias("q"))), lambda x: (x["r"] != "") & (x["q"] == "")), lambda x: F.concat(F.lit("dropped role "), shown(x["r"]), F.lit(" of "), x["n"], F.lit(", which stands nowhere near the name")))
     lost = lambda v: (F.coalesce(v, F.lit("")) != "") & ~copied(v)
     some = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
     of_sample = lambda s, i: (lambda where: F.concat(
-        some(*[F.when(lost(s[f]), F.concat(where, F.lit(f": dropped {f}, not copied from the document"))) for f in ("givenTitle", "givenDescription")]),
-        F.transform(F.filter(F.coalesce(s["facts"], F.array()), lambda f: ~written(fact_value(f))), lambda f: F.concat(where, F.lit(": dropped fact "), shown(f), F.lit(": not in the document"))),
+        some(*[F.when(lost(s[f]), F.concat(where, F.lit(f": dropped {f}: no copy from the document"))) for f in ("givenTitle", "givenDescription")]),
+        F.transform(F.filter(F.coalesce(s["facts"], F.array()), lambda f: ~written(fact_value(f))), lambda f: F.concat(where, F.lit(": dropped fact "), shown(f), F.lit(": the document lacks it"))),
         dropped(s["subjects"], where),
         some(F.when(code_from_title(keep(s["givenTitle"]), s["sampleCode"]) != F.trim(F.coalesce(s["sampleCode"], F.lit(""))), F.concat(where, F.lit(": sample code "), shown(F.trim(F.coalesce(s["sampleCode"], F.lit("")))), F.lit(" became "), shown(code_from_title(keep(s["givenTitle"]), s["sampleCode"]))))),
     ))(F.concat(F.lit("sample "), (i + 1).cast("string")))
-    changes = F.concat(added, roles, some(F.when(lost(shared["preparation"]), F.lit("dropped the shared preparation text: not copied from the document"))), dropped(shared["subjects"], F.lit("shared")), F.flatten(F.transform(samples, of_sample)))
+    changes = F.concat(added, roles, some(F.when(lost(shared["preparation"]), F.lit("dropped the shared preparation: no copy from the document"))), dropped(shared["subjects"], F.lit("shared")), F.flatten(F.transform(samples, of_sample)))
     out = F.when(F.col("extraction").isNotNull(), F.struct(new_shared.alias("shared"), F.transform(samples, sample).alias("samples")))
     return df.select(key, "text", out.alias("extraction"), F.coalesce(changes, F.array()).cast("array<string>").alias("changes"))

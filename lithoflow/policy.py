@@ -19,6 +19,8 @@ PLACEHOLDER = "???"
 SHINGLE, LEAST_COPIED, ROLE_WINDOW = 4, 0.8, 80
 LEAST_MATCH, UNCERTAIN_MARGIN, EXHAUSTIVE = 0.01, 0.1, 8
 PROMPT_CHARS, STYLE_EXAMPLES, OTHER_CHARS = 30000, 4, 60
+#: Chunks of a growing answer between two looks at it.
+LOOP_EVERY = 32
 LOOP_TAIL, LOOP_BLANK, LOOP_PERIODS, LOOP_CHARS, LOOP_SHOWN = 2000, 300, (8, 400), 400, 70
 MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 MONTH_NUMBERS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12, "mär": 3, "mai": 5, "okt": 10, "dez": 12}

@@ -203,7 +203,8 @@ def test_enriched_records(spark):
     assert [c["name"] for c in r["creators"]] == ["Bianchi, Eva", "Solo, S"] and [a["name"] for a in r["creators"][0]["affiliation"]] == ["Institute A", "Unknown", "Has"]
     assert r["creators"][0]["affiliation"][0]["affiliationIdentifier"] == "https://ror.org/1" and r["creators"][0]["affiliation"][2]["affiliationIdentifier"] == "x"
     assert [c["affiliation"][0]["name"] for c in r["contributors"]] == ["Inst A", "Institute A"] and r["doi"] == "d"
-    assert sorted(c["message"] for c in changes.collect()) == ["Rossi, E. -> Bianchi, Eva (ORCID record)", "affiliation 'Inst A' -> Institute A (https://ror.org/1)", "no unambiguous ROR match for affiliation 'Unknown'"]
+    assert sorted(c["message"] for c in changes.collect()) == ["Rossi, E. -> Bianchi, Eva as registered", "affiliation 'Inst A' -> Institute A (https://ror.org/1)", "no registered organisation is clearly meant by 'Unknown'"]
+        assert not any("'Unknown'" in c["message"] for c in lookup.enrich_records(recs, names, known, online=False)[1].collect())
     assert {(f["sample_idx"], f["path"]) for f in findings.collect()} == {(0, "creators[0].name"), (1, "creators[0].name")}
 
 
