@@ -25,6 +25,22 @@ def prepare(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(key, F.col(text).alias("text"), X.norm0(t).alias("norm0"), X.plain_source(t).alias("haystack"), X.tokens_with_dots(t).alias("tokens"), X.shingles(X.words(t)).alias("shingles"), X.numbers(t).alias("numbers"))
 
 
+#: Rows of a document that stand beside its text in one row of beside().
+BESIDE = 200
+
+
+def beside(children: DataFrame, docs: DataFrame, key: str = "doc_id", most: int = BESIDE) -> DataFrame:
+    """docs with ``items``, their rows of ``children`` as structs, about ``most`` a row.
+
+    A text travels once for so many children instead of once for each; a document that holds a great
+    share of all children is spread over many rows. Documents without children are left out.
+    """
+    columns = [c for c in children.columns if c != key]
+    chunks = children.groupBy(key).agg(F.ceil(F.count("*") / most).alias("chunks"))
+    items = children.join(chunks, key).groupBy(key, F.pmod(F.xxhash64(*columns), F.col("chunks")).alias("chunk")).agg(F.collect_list(F.struct(*columns)).alias("items"))
+    return items.drop("chunk").join(docs, key)
+
+
 def copied_ratio(text: Column, source: Column, source_shingles: Column) -> Column:
     """Share of the text's four-word runs that stand in the source; for shorter texts 1 or 0 by containment."""
     mine = X.shingles(X.words(text))

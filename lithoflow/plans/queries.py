@@ -60,16 +60,19 @@ def copy_ratio(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def copied_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     d = _of_docs(spark, sf, read(spark, sf, "descriptions").select("description_id", "record_id", "description").where("description is not null"))
-    j = d.join(verify.prepare(_docs(spark, sf)), "doc_id")
-    return j.select("description_id", verify.is_copied(F.col("description"), F.col("text"), F.col("haystack"), F.col("shingles")).alias("copied"))
+    j = verify.beside(d.select("doc_id", "description_id", "description"), _docs(spark, sf))
+    told = lambda t, haystack, runs: F.transform("items", lambda x: F.struct(x["description_id"].alias("description_id"), verify.is_copied(x["description"], t, haystack, runs).alias("copied")))
+    t = F.col("text")
+    return j.select(F.inline(X.let(X.plain_source(t), lambda haystack: X.let(X.shingles(X.words(t)), lambda runs: told(t, haystack, runs)))))
 
 
 @query
 def keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Keywords of which every telling word stands in the document."""
     s = _of_docs(spark, sf, read(spark, sf, "subjects").select("subject_id", "record_id", "subject").where("trim(subject) <> ''"))
-    j = s.join(verify.prepare(_docs(spark, sf)).select("doc_id", "tokens"), "doc_id")
-    return j.select("subject_id", X.tokens_in_source(F.trim("subject"), F.col("tokens")).alias("in_source"))
+    j = verify.beside(s.select("doc_id", "subject_id", "subject"), _docs(spark, sf))
+    told = lambda tokens: F.transform("items", lambda x: F.struct(x["subject_id"].alias("subject_id"), X.tokens_in_source(F.trim(x["subject"]), tokens).alias("in_source")))
+    return j.select(F.inline(X.let(X.tokens_with_dots(F.col("text")), told)))
 
 
 @query
@@ -92,8 +95,9 @@ def number_set_num(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def new_numbers(spark: SparkSession, sf: str) -> DataFrame:
     d = _of_docs(spark, sf, read(spark, sf, "descriptions").select("description_id", "record_id", "description").where("description is not null"))
-    j = d.join(_docs(spark, sf).select("doc_id", X.numbers(F.col("text")).alias("numbers")), "doc_id")
-    return j.select("description_id", checks.new_numbers(F.col("description"), F.col("numbers")).alias("value")).where("value <> ''")
+    j = verify.beside(d.select("doc_id", "description_id", "description"), _docs(spark, sf))
+    told = lambda numbers: F.transform("items", lambda x: F.struct(x["description_id"].alias("description_id"), checks.new_numbers(x["description"], numbers).alias("value")))
+    return j.select(F.inline(X.let(X.numbers(F.col("text")), told))).where("value <> ''")
 
 
 @query
