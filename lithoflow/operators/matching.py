@@ -102,7 +102,10 @@ def match(records: DataFrame, group: str = "doc_id") -> DataFrame:
     """(group, g, o, score, uncertain): exact for up to 2 * EXHAUSTIVE records together, greedy beyond."""
     records = records.select(group, "side", "idx", "code", "title", "abstract")
     s = scores(records, group)
-    sizes = records.groupBy(group).agg(F.count_if(F.col("side") == "gold").alias("n_g"), F.count_if(F.col("side") == "ours").alias("n_o"), F.sort_array(F.collect_list(F.struct("side", "idx"))).alias("all"))
+    sizes = records.groupBy(group).agg(F.count_if(F.col("side") == "gold").alias("n_g"), F.count_if(F.col("side") == "ours").alias("n_o"))
+    # Only groups of the exact bound are listed record by record.
+    few = sizes.where(F.col("n_g") + F.col("n_o") <= 2 * P.EXHAUSTIVE).select(group)
+    listed = records.select(group, "side", "idx").join(few, group, "left_semi").groupBy(group).agg(F.sort_array(F.collect_list(F.struct("side", "idx"))).alias("all"))
     # Only scores travel to Python, as one list per group; a group beyond the exact bound is matched greedily
     # there, or, where its list would be too long for one task, in rounds over the table.
     s = materialise(s)
@@ -111,7 +114,7 @@ def match(records: DataFrame, group: str = "doc_id") -> DataFrame:
     lists = s.join(large, group, "left_anti").groupBy(group).agg(F.collect_list(F.struct("g", "o", "score")).alias("ss"))
     small = F.col("n_g") + F.col("n_o") <= 2 * P.EXHAUSTIVE
     side = lambda name: F.when(small, F.transform(F.filter("all", lambda x: x["side"] == name), lambda x: x["idx"]))
-    joined = lists.join(sizes, group).select(F.col(group).cast("bigint"), "ss", side("gold").alias("gs"), side("ours").alias("os"))
+    joined = lists.join(sizes, group).join(listed, group, "left").select(F.col(group).cast("bigint"), "ss", side("gold").alias("gs"), side("ours").alias("os"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

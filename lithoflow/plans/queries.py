@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from lithoflow import policy as P
 from lithoflow.functions import python as Y
 from lithoflow.functions import text as X
-from lithoflow.operators import checks, layout, lookup, matching, model_calls, records, scoring, shred, verify
+from lithoflow.operators import checks, layout, lookup, matching, model_calls, records, shred, verify
+from lithoflow.plans import pipeline
 from lithoflow.plans.base import REGISTRY, Query, docs, last_deliveries, query
 from lithoflow.plans.record_queries import extractions, nested
 from lithoflow.plans.sql import all_sql  # noqa: F401 - registered beside the queries
@@ -344,11 +345,10 @@ def title_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Each record scored against the next one of its document."""
-    n = materialise(nested(spark, sf))
-    w = Window.partitionBy("doc_id").orderBy("record_id")
-    pairs = n.withColumn("o", F.lead("record").over(w)).where("o is not null").select("doc_id", F.col("record_id").cast("string").alias("label"), F.col("record").alias("g"), "o").join(_docs(spark, sf), "doc_id")
-    return scoring.summarize(scoring.record_checks(pairs))
+    """Records with even ids scored against the matching ones with odd ids of their document."""
+    n = materialise(nested(spark, sf)).select("doc_id", F.col("record_id").cast("int").alias("sample_idx"), "record")
+    _, summaries = pipeline.evaluate(n.where("sample_idx % 2 = 0"), n.where("sample_idx % 2 = 1"), _docs(spark, sf))
+    return summaries
 
 
 # -- model calls and the whole pipeline -------------------------------------------------------
@@ -424,11 +424,19 @@ def rendered_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages of word boxes as text: lines, scripts, columns."""
-    lined = layout.mark_scripts(layout.lines(_boxes(spark, sf).drop("line_no", "n")))
-    tables = spark.createDataFrame([], "doc_id bigint, page int, top double, markdown string")
-    widths = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(400.0).alias("width"))
-    return layout.page_texts(lined, tables, widths)
+    """Orders as pages: a line of six words for each item, three on either side of a gutter; every seventh
+    part's line runs over it, and every fifth order has a table after its third line."""
+    part = F.col("l_partkey").cast("int")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
+    words = F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("n"), "l_linenumber"), F.concat(F.lit("r"), "l_returnflag"), F.concat(F.lit("t"), "l_linestatus"), F.concat(F.lit("m"), F.pmod("l_partkey", F.lit(100))))
+    d = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("n"), (part % 7 == 0).alias("over"), words.alias("words"))
+    d = d.select("doc_id", "n", "over", F.posexplode("words").alias("k", "text"))
+    x0 = (F.col("k") * 48 + F.when(~F.col("over") & (F.col("k") >= 3), 76).otherwise(0)).cast("double")
+    top = (F.col("n") * 14).cast("double")
+    boxes = d.select("doc_id", F.lit(1).alias("page"), "text", x0.alias("x0"), (x0 + 45).alias("x1"), top.alias("top"), (top + 10).alias("bottom"), F.lit(10.0).alias("size"), F.lit("text").alias("kind"))
+    pages = read(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"))
+    tables = pages.where("doc_id % 5 = 0").select("doc_id", "page", F.lit(49.0).alias("top"), F.lit("| t |").alias("markdown"))
+    return layout.page_texts(layout.mark_scripts(layout.lines(boxes)), tables, pages.withColumn("width", F.lit(400.0))).select("doc_id", "text")
 
 
 @query

@@ -80,6 +80,10 @@ def all_sql() -> dict[str, str]:
         "role_near_name": f"WITH {S.DOCS}, r AS (SELECT doc_id, text, regexp_extract(text, '[A-Z][a-z]+ \\(([A-Z][a-z]+),', 1) AS role FROM docs), rs AS (SELECT DISTINCT doc_id, text, role, unnest(regexp_extract_all(text, '([A-Z][a-z]+) \\(', 1)) AS family FROM r WHERE role <> ''), {near_cte('rs')} SELECT doc_id, family, role, near FROM nr",
         "form_fields": "WITH w AS (SELECT *, CASE WHEN l_partkey % 5 < 2 THEN 'Tx' WHEN l_partkey % 5 = 2 THEN 'Ch' ELSE 'Btn' END AS kind, CASE WHEN l_partkey % 2 = 0 THEN l_linestatus || ' ' || l_returnflag WHEN l_partkey % 11 = 0 THEN 'inherited' ELSE '' END AS value FROM lineitem), t AS (SELECT l_orderkey AS doc_id, CASE WHEN kind <> 'Btn' THEN trim(regexp_replace(value, '\\s+', ' ', 'g')) WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 4 >= 2 THEN '[x]' ELSE '[ ]' END AS text FROM w) SELECT doc_id, text, count(*) AS n FROM t WHERE text <> '' GROUP BY ALL",
         "free_gaps": "WITH w AS (SELECT l_orderkey, CAST(l_linenumber * 40 AS DOUBLE) AS x0, CAST(l_linenumber * 40 + 30 + l_partkey % 20 AS DOUBLE) AS x1 FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, -1.0, 0.0 FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 400.0, 401.0 FROM lineitem), r AS (SELECT l_orderkey, max(x1) OVER (PARTITION BY l_orderkey ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS a, lead(x0) OVER (PARTITION BY l_orderkey ORDER BY x0, x1) AS b FROM w) SELECT l_orderkey, greatest(a, 0.0) AS a, least(b, 400.0) AS b FROM r WHERE least(b, 400.0) - greatest(a, 0.0) >= 6",
+        "reading_order": """WITH l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS n, l_partkey % 7 = 0 AS over, 'p' || l_partkey || ' s' || l_suppkey || ' n' || l_linenumber AS a, 'r' || l_returnflag || ' t' || l_linestatus || ' m' || (l_partkey % 100) AS b FROM lineitem),
+ i AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, over, doc_id % 5 = 0 AND n > 3 ORDER BY n) AS g FROM l), s AS (SELECT *, NOT over AND count(*) OVER (PARTITION BY doc_id, over, doc_id % 5 = 0 AND n > 3, g) >= 3 AS split, min(n) OVER (PARTITION BY doc_id, over, doc_id % 5 = 0 AND n > 3, g) AS m FROM i),
+ o AS (SELECT doc_id, CAST(n AS DOUBLE) AS x, 0 AS y, 0 AS z, a || ' ' || b AS t FROM s WHERE NOT split UNION ALL SELECT doc_id, m, 0, n, a FROM s WHERE split UNION ALL SELECT DISTINCT doc_id, m, 1, 0, '' FROM s WHERE split UNION ALL SELECT doc_id, m, 2, n, b FROM s WHERE split UNION ALL SELECT DISTINCT doc_id, m, 3, 0, '' FROM s WHERE split UNION ALL SELECT o_orderkey, 3.5, 0, 0, '| t |' FROM orders WHERE o_orderkey % 5 = 0)
+ SELECT doc_id, trim(regexp_replace(string_agg(t, chr(10) ORDER BY x, y, z), '\\n{3,}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS text FROM o WHERE doc_id IN (SELECT o_orderkey FROM orders) GROUP BY 1""",
         "glyph_counts": "SELECT l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INT) AS page, count(*) FILTER (l_partkey % 3 = 0) AS unmapped, count(*) AS total FROM lineitem GROUP BY ALL",
         "link_labels": "WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber * 40.0 AS x0, 30.0 + l_partkey % 20 AS wide, l_partkey % 5 * 12.0 AS top, 'w' || l_partkey || ',' AS t FROM lineitem), u AS (SELECT doc_id, trim(string_agg(t, ' ' ORDER BY top, x0, t), ' ,;.') AS label FROM w WHERE x0 + wide / 2 BETWEEN 50 AND 190 AND top + 5 BETWEEN 0 AND 40 GROUP BY 1) SELECT o_orderkey AS doc_id, coalesce(label, '') AS label FROM orders LEFT JOIN u ON u.doc_id = o_orderkey",
         "lost_from_pages": f"WITH {S.LAST}, {S.DOCS}, lr AS (SELECT record_id, doc_id, doi FROM records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY received_at DESC NULLS LAST, delivery_id DESC) = 1), v AS (SELECT doc_id, doi AS v FROM lr UNION SELECT l.doc_id, u.x.nameidentifier FROM creators c JOIN lr l USING (record_id), unnest(c.nameidentifiers) AS u(x)), i AS (SELECT DISTINCT doc_id, unnest(list_concat([upper(x) FOR x IN regexp_extract_all(v, '{P.ORCID}')], [lower(regexp_replace(x, '[.,;:)\\]}}>]+$', '')) FOR x IN regexp_extract_all(v, '{S.DOI}')])) AS identifier FROM v WHERE v IS NOT NULL) SELECT doc_id, string_agg(identifier, ',' ORDER BY identifier) AS lost FROM i JOIN docs d USING (doc_id) WHERE NOT contains({S.norm0(S.strip('d.text'))}, {S.norm0('identifier')}) GROUP BY 1",

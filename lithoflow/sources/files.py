@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,7 +106,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 def style_examples(spark: SparkSession, path: str) -> DataFrame:
     """(pos, title, abstract, source_documents); empty where there is no such file or it is broken."""
     schema = "pos INT, title STRING, abstract STRING, source_documents ARRAY<STRING>"
-    if not os.path.exists(path.removeprefix("file://")):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
     e = spark.read.text(path, wholetext=True).select(F.from_json("value", "STRUCT<examples: ARRAY<STRUCT<title: STRING, abstract: STRING, source_documents: ARRAY<STRING>>>>").alias("v"))
     return e.select(F.posexplode(F.coalesce("v.examples", F.array())).alias("pos", "x")).select("pos", "x.title", "x.abstract", F.coalesce("x.source_documents", F.array()).alias("source_documents"))
