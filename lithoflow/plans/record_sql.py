@@ -54,6 +54,7 @@ SAMPLES = f"""{NESTED}, {PREP},
  vt AS ({copied('(SELECT doc_id, record_id, title AS value FROM samples)', 'value')}), vd AS ({copied('(SELECT doc_id, record_id, description AS value FROM samples)', 'value')}),
  vf AS (SELECT record_id, ok OR {IN_SOURCE} AS ok FROM ({copied("(SELECT doc_id, record_id, ' ' || coalesce(title, '') AS value FROM samples)", 'value')})),
  vs AS (SELECT record_id, count(*) FILTER (ok OR {IN_SOURCE}) AS n FROM ({copied("(SELECT l.doc_id, l.record_id, trim(subject) AS value FROM ss JOIN lastr l USING (record_id) WHERE trim(coalesce(subject, '')) <> '')", 'value')}) GROUP BY 1)"""
+ROLES = "rs AS (SELECT f.doc_id, c.agent_id, c.contributortype AS role, coalesce(nullif(c.familyname, ''), split_part(coalesce(c.name, ''), ',', 1)) AS family, docs.text FROM contributors c JOIN f USING (record_id) JOIN docs USING (doc_id) WHERE trim(coalesce(c.contributortype, '')) <> ''), {near}, n AS (SELECT doc_id, count(*) FILTER (near) AS n FROM nr GROUP BY 1)"
 _CODE = "trim(regexp_extract(coalesce(v, ''), '\\(([^()]{2,40})\\)\\s*\\.?\\s*$', 1))"
 
 _TITLE = P.ACADEMIC_TITLE.replace(r"(?=\s|$)", "(\\s|$)").replace("(?i)\\b", "(?i)(^|[^\\p{L}\\p{N}_])")
@@ -76,7 +77,12 @@ def all_sql() -> dict[str, str]:
         "findings_union": f"WITH {ALL}, {EVERY} SELECT doc_id, severity, kind, count(*) AS n FROM every GROUP BY ALL",
         "findings_summary": f"WITH {ALL}, {EVERY} SELECT doc_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM every GROUP BY 1",
         "verified_samples": f"WITH {SAMPLES} SELECT s.doc_id, CAST(s.sample_no AS INT) AS sample_no, coalesce(vt.value, '') <> '' AND vt.ok AS title, coalesce(vd.value, '') <> '' AND vd.ok AS description, CAST(CASE WHEN vf.ok THEN 1 ELSE 0 END AS INT) AS n_facts, CAST(coalesce(vs.n, 0) AS INT) AS n_subjects, CASE WHEN len(regexp_split_to_array(c.code, '\\s+')) <= 2 AND regexp_matches(c.code, '[\\p{{Nd}}_]|[A-Z]{{2,}}') THEN c.code ELSE '' END AS code FROM samples s JOIN vt USING (record_id) JOIN vd USING (record_id) JOIN vf USING (record_id) LEFT JOIN vs USING (record_id) JOIN (SELECT record_id, {_CODE} AS code FROM (SELECT record_id, CASE WHEN ok THEN value END AS v FROM vt)) c USING (record_id)",
-        "verified_shared": f"WITH {NESTED}, {PREP}, f AS (SELECT doc_id, min(record_id) AS record_id FROM lastr JOIN docs USING (doc_id) GROUP BY 1), vp AS ({copied('(SELECT f.doc_id, d.description AS value FROM f LEFT JOIN (SELECT * FROM ds WHERE i = 0) d USING (record_id))', 'value')}), rs AS (SELECT f.doc_id, c.agent_id, c.contributortype AS role, coalesce(nullif(c.familyname, ''), split_part(coalesce(c.name, ''), ',', 1)) AS family, docs.text FROM contributors c JOIN f USING (record_id) JOIN docs USING (doc_id) WHERE trim(coalesce(c.contributortype, '')) <> ''), {near_cte('rs')}, n AS (SELECT doc_id, count(*) FILTER (near) AS n FROM nr GROUP BY 1) SELECT vp.doc_id, coalesce(vp.value, '') <> '' AND vp.ok AS preparation, CAST(coalesce(n.n, 0) AS INT) AS n_roles FROM vp LEFT JOIN n USING (doc_id)",
+        "verified_shared": f"WITH {NESTED}, {PREP}, f AS (SELECT doc_id, min(record_id) AS record_id FROM lastr JOIN docs USING (doc_id) GROUP BY 1), vp AS ({copied('(SELECT f.doc_id, d.description AS value FROM f LEFT JOIN (SELECT * FROM ds WHERE i = 0) d USING (record_id))', 'value')}), {ROLES.format(near=near_cte('rs'))} SELECT vp.doc_id, coalesce(vp.value, '') <> '' AND vp.ok AS preparation, CAST(coalesce(n.n, 0) AS INT) AS n_roles FROM vp LEFT JOIN n USING (doc_id)",
+        "built_parts": f"""WITH {SAMPLES}, f AS (SELECT doc_id, min(record_id) AS record_id FROM lastr JOIN docs USING (doc_id) GROUP BY 1), {ROLES.format(near=near_cte('rs'))},
+ people AS (SELECT f.doc_id, count(*) AS n FROM agents a JOIN f USING (record_id) GROUP BY 1), ks AS (SELECT record_id, count(DISTINCT lower(value)) FILTER (ok OR {IN_SOURCE}) AS n FROM ({copied("(SELECT l.doc_id, l.record_id, trim(subject) AS value FROM ss JOIN lastr l USING (record_id) WHERE trim(coalesce(subject, '')) <> '')", 'value')}) GROUP BY 1),
+ dd AS (SELECT record_id, string_agg(DISTINCT d, ';' ORDER BY d) AS dates FROM days GROUP BY 1)
+ SELECT s.doc_id, CAST(s.sample_no AS INT) AS sample_idx, CAST(coalesce(people.n, 0) AS INT) AS n_creators, CAST(coalesce(n.n, 0) AS INT) AS n_contributors, CAST(coalesce(ks.n, 0) AS INT) AS n_subjects, coalesce(dd.dates, '') AS dates, coalesce(rel.next_doi, '') AS related, coalesce(nullif(regexp_extract(CASE WHEN instr(d.text, 'Additional information') > 0 THEN d.text[instr(d.text, 'Additional information') + 22:] ELSE '' END, '(?i)publi[\\p{{L}}\\p{{N}}_]*[^.\\n]{{0,80}}?\\b((?:19|20)\\d{{2}})\\b', 1), ''), '2026') AS year
+ FROM samples s JOIN docs d USING (doc_id) LEFT JOIN people USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN ks USING (record_id) LEFT JOIN dd USING (record_id) LEFT JOIN rel USING (record_id)""",
         "role_near_name": f"WITH {S.DOCS}, r AS (SELECT doc_id, text, regexp_extract(text, '[A-Z][a-z]+ \\(([A-Z][a-z]+),', 1) AS role FROM docs), rs AS (SELECT DISTINCT doc_id, text, role, unnest(regexp_extract_all(text, '([A-Z][a-z]+) \\(', 1)) AS family FROM r WHERE role <> ''), {near_cte('rs')} SELECT doc_id, family, role, near FROM nr",
         "form_fields": "WITH w AS (SELECT *, CASE WHEN l_partkey % 5 < 2 THEN 'Tx' WHEN l_partkey % 5 = 2 THEN 'Ch' ELSE 'Btn' END AS kind, CASE WHEN l_partkey % 2 = 0 THEN l_linestatus || ' ' || l_returnflag WHEN l_partkey % 11 = 0 THEN 'inherited' ELSE '' END AS value FROM lineitem), t AS (SELECT l_orderkey AS doc_id, CASE WHEN kind <> 'Btn' THEN trim(regexp_replace(value, '\\s+', ' ', 'g')) WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 4 >= 2 THEN '[x]' ELSE '[ ]' END AS text FROM w) SELECT doc_id, text, count(*) AS n FROM t WHERE text <> '' GROUP BY ALL",
         "free_gaps": "WITH w AS (SELECT l_orderkey, CAST(l_linenumber * 40 AS DOUBLE) AS x0, CAST(l_linenumber * 40 + 30 + l_partkey % 20 AS DOUBLE) AS x1 FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, -1.0, 0.0 FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 400.0, 401.0 FROM lineitem), r AS (SELECT l_orderkey, max(x1) OVER (PARTITION BY l_orderkey ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS a, lead(x0) OVER (PARTITION BY l_orderkey ORDER BY x0, x1) AS b FROM w) SELECT l_orderkey, greatest(a, 0.0) AS a, least(b, 400.0) AS b FROM r WHERE least(b, 400.0) - greatest(a, 0.0) >= 6",
