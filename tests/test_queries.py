@@ -6,7 +6,7 @@ from lithoflow.plans import queries
 
 
 def test_nested_records_hold_agents_identifiers_and_affiliations(spark, sf):
-    nested = queries._nested(spark, sf).select("record").collect()
+    nested = queries.nested(spark, sf).select("record").collect()
     agents = [a for r in nested for a in (*r["record"]["creators"], *r["record"]["contributors"])]
     t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet").distinct()
     known = t("records").select("record_id").distinct()
@@ -17,7 +17,7 @@ def test_nested_records_hold_agents_identifiers_and_affiliations(spark, sf):
 
 
 def test_records_are_enriched(spark, sf):
-    before = {r["record_id"]: r["record"] for r in queries._nested(spark, sf).select("record_id", F.to_json("record").alias("record")).collect()}
+    before = {r["record_id"]: r["record"] for r in queries.nested(spark, sf).select("record_id", F.to_json("record").alias("record")).collect()}
     rows = queries.enriched_records(spark, sf).collect()
     assert len(rows) == len(before)
     after = {r["sample_idx"]: json.loads(r["record"]) for r in rows}
