@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoflow.session import materialise
+from lithoflow.session import growing, materialise
 
 BLOCK = 50_000
 LEAST_COSINE, LEAST_SCORE, MARGIN = 0.15, 0.7, 0.03
@@ -349,4 +349,4 @@ def find(rows: DataFrame, reference: DataFrame, key: str, label: str = "label",
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     # Written once: what a value means is costly to tell, and the join below may read it again.
     mapped = materialise(map_values(materialise(distinct.repartition(n)), strings(reference, key, label, aliases)))
-    return kept.join(mapped, "value").select("row_id", "value", "ref_id").dropDuplicates(["row_id"])
+    return kept.join(growing(mapped), "value").select("row_id", "value", "ref_id").dropDuplicates(["row_id"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithoflow.session import materialise
+from lithoflow.session import growing, materialise
 
 # Letters of other alphabets and the Latin letters they look like.
 CYRILLIC_LATIN = dict(zip("АВЕКМНОРСТУХІЅЈаеорсухіѕјһԁԛԝ", "ABEKMHOPCTYXISJaeopcyxisjhdqw"))
@@ -179,7 +179,7 @@ def plain_forms(values: DataFrame) -> DataFrame:
     # Marks are ordered by class within the segment of their base; then the strings are rebuilt.
     pieces = pieces.withColumn("segment", F.sum(F.when(F.col("ccc") == 0, 1).otherwise(0)).over(ordered))
     built = pieces.groupBy("v1", "v2").agg(F.sort_array(F.collect_list(F.struct("segment", "ccc", "pos", "sub", "c"))).alias("cs")).select("v1", "v2", F.array_join(F.transform("cs", lambda x: x["c"]), "").alias("text"))
-    built = built.join(odd, ["v1", "v2"]).select("value", "n", _recompose(F.col("text")).alias("text"))
+    built = built.join(growing(odd), ["v1", "v2"]).select("value", "n", _recompose(F.col("text")).alias("text"))
 
     # Joiners: only those between letters of a joining script can be required.
     has = F.col("text").rlike(f"[{ZWNJ}{ZWJ}]")
@@ -220,4 +220,4 @@ def find(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     # Distinct values with their uses: a frequent value is handled once (counted before the shuffle).
     values = rows.groupBy("value").agg(F.count("*").alias("n"))
     forms = plain_forms(values).where(~F.col("value").eqNullSafe(F.col("plain")))
-    return rows.join(forms, "value").select("source_table", "row_id", "value", "plain").dropDuplicates(["source_table", "row_id"])
+    return rows.join(growing(forms), "value").select("source_table", "row_id", "value", "plain").dropDuplicates(["source_table", "row_id"])
