@@ -60,6 +60,29 @@ _CODE = "trim(regexp_extract(coalesce(v, ''), '\\(([^()]{2,40})\\)\\s*\\.?\\s*$'
 _TITLE = P.ACADEMIC_TITLE.replace(r"(?=\s|$)", "(\\s|$)").replace("(?i)\\b", "(?i)(^|[^\\p{L}\\p{N}_])")
 
 
+WIDE = "".join(chr(c) for c in range(0xFF21, 0xFF5B)), "".join(chr(c - 0xFEE0) for c in range(0xFF21, 0xFF5B))
+
+
+def spelt(x: str) -> str:
+    """Ligatures as their letters."""
+    for sign, letters in P.LIGATURES.items():
+        x = f"replace({x}, '{sign}', '{letters}')"
+    return x
+
+
+def upper(x: str) -> str:
+    return f"upper(replace({spelt(x)}, 'ß', 'ss'))"
+
+
+def name_key(x: str) -> str:
+    return f"regexp_replace(lower(strip_accents(translate({spelt(x)}, '{WIDE[0]}', '{WIDE[1]}'))), '[^a-z]', '', 'g')"
+
+
+def recased(registered: str, written: str) -> str:
+    runs = f"regexp_extract_all(lower({registered}), '\\p{{L}}+|[^\\p{{L}}]+')"
+    return f"CASE WHEN coalesce({written}, '') <> '' AND {name_key(written)} = {name_key(registered)} AND NOT (upper({written}) = {written} AND lower({written}) <> {written}) THEN {written} ELSE array_to_string([upper(z[1]) || z[2:] FOR z IN {runs}], '') END"
+
+
 def all_sql() -> dict[str, str]:
     of_record = lambda rule, *columns: f"WITH {ALL} SELECT record_id, {', '.join(columns)}, count(*) AS n FROM {rule} GROUP BY ALL"
     near = "list_bool_or([contains(t[greatest(q - 80, 0) + 1:q + length(nm) + 80], rl) FOR q IN starts])"
@@ -98,6 +121,12 @@ def all_sql() -> dict[str, str]:
         "provenance_counts": f"WITH {ALL}, {EVERY}, e AS (SELECT doc_id, count(*) FILTER (severity = 'error') AS errors FROM every GROUP BY 1) SELECT d.doc_id, sha256(d.text) AS sha, CAST(length(d.text) AS BIGINT) AS chars, coalesce(e.errors, 0) AS errors FROM docs d LEFT JOIN e USING (doc_id)",
         "rejected_records": f"WITH {NESTED}, f AS (SELECT doc_id, min(record_id) AS record_id FROM lastr JOIN docs USING (doc_id) GROUP BY 1) SELECT DISTINCT f.doc_id, 'dateType' AS problems FROM f JOIN days USING (record_id) WHERE f.doc_id % 7 = 0",
         "strip_titles": f"WITH c AS (SELECT DISTINCT agent_id, name FROM creators WHERE name IS NOT NULL) SELECT agent_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '{_TITLE}', '\\1\\2', 'g'), '{_TITLE}', '\\1\\2', 'g'), '{_TITLE}', '\\1\\2', 'g'), '{S.SPACE}', ' ', 'g'), ' ,') AS bare FROM c",
+        "enriched_people": f"""WITH p AS (SELECT DISTINCT agent_id, name, givenname, familyname, nameidentifiers FROM creators), i AS (SELECT p.agent_id, k, regexp_extract(coalesce(p.nameidentifiers[k].nameidentifier, ''), '{P.ORCID}') AS orcid, givenname, familyname FROM p, unnest(range(1, len(p.nameidentifiers) + 1)) AS u(k)),
+ reg AS (SELECT orcid, {upper('givenname')} AS given, {upper('familyname')} AS family FROM i WHERE orcid <> '' AND givenname IS NOT NULL AND familyname IS NOT NULL QUALIFY row_number() OVER (PARTITION BY orcid ORDER BY {upper('givenname')} DESC, {upper('familyname')} DESC) = 1),
+ f AS (SELECT i.agent_id, arg_min(reg.given, k) AS given, arg_min(reg.family, k) AS family FROM i JOIN reg USING (orcid) GROUP BY 1),
+ n AS (SELECT p.*, f.given IS NOT NULL AS hit, {recased('f.family', 'p.familyname')} AS nf, {recased('f.given', 'p.givenname')} AS ng FROM p LEFT JOIN f USING (agent_id)),
+ c AS (SELECT *, hit AND nf || ', ' || ng <> coalesce(name, '') AS ch FROM n)
+ SELECT agent_id AS person_id, CASE WHEN ch THEN nf || ', ' || ng ELSE name END AS name, CASE WHEN ch THEN ng ELSE givenname END AS givenname, CASE WHEN ch THEN nf ELSE familyname END AS familyname, ch AS changed, coalesce(ch AND {name_key('nf')} <> {name_key("split_part(coalesce(name, ''), ',', 1)")}, false) AS differs FROM c""",
         "ror_choose": "SELECT label AS text, ror, label AS name FROM organisations WHERE org_id % 5 <> 0",
         "cached_answers": f"WITH {S.DOCS}, p AS (SELECT doc_id, text[1:{P.PROMPT_CHARS}] AS p FROM docs), k AS (SELECT DISTINCT p FROM p WHERE doc_id % 2 = 0) SELECT doc_id, k.p IS NOT NULL AS cached, CASE WHEN k.p IS NOT NULL THEN '{{\"samples\": []}}' WHEN p.p <> '' THEN '{{\"samples\": [], \"n_chars\": ' || length(p.p) || '}}' END AS content, CASE WHEN k.p IS NULL AND p.p = '' THEN 'empty prompt' END AS error FROM p LEFT JOIN k ON k.p = p.p",
         "loop_reason": f"WITH d AS (SELECT DISTINCT description_id, right(repeat(coalesce(description, ''), 5), {P.LOOP_TAIL}) AS t FROM descriptions), r AS (SELECT description_id, t, CASE WHEN length(t) >= 300 AND regexp_full_match(right(t, 300), '{S.SPACE[:-1]}*') THEN 0 ELSE list_min([p FOR p IN range(8, 401) IF length(t) >= p * greatest(4, CAST(ceil(400 / p) AS INT)) AND right(t, CAST(p * greatest(4, CAST(ceil(400 / p) AS INT)) AS BIGINT)) = repeat(right(t, p), greatest(4, CAST(ceil(400 / p) AS INT)))]) END AS p FROM d) SELECT description_id, CASE WHEN p = 0 THEN 'endless whitespace' ELSE 'repeats: ' || left(right(t, p), 70) END AS reason FROM r WHERE p IS NOT NULL",
