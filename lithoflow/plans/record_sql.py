@@ -60,6 +60,35 @@ _CODE = "trim(regexp_extract(coalesce(v, ''), '\\(([^()]{2,40})\\)\\s*\\.?\\s*$'
 _TITLE = P.ACADEMIC_TITLE.replace(r"(?=\s|$)", "(\\s|$)").replace("(?i)\\b", "(?i)(^|[^\\p{L}\\p{N}_])")
 
 
+_KEYS = ("creators", "relatedIdentifiers", "titles", "doi", "contributors", "types", "publisher", "descriptions", "subjects", "dates")
+_WRAPS = ("records", "data", "content", "items", "attributes", "record")
+
+
+def _present(j: str, keys: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"json_exists({j}, '$.{k}')" for k in keys) + ")"
+
+
+def _unwrapped(j: str, keys: tuple[str, ...]) -> str:
+    """One step into an envelope or into JSON text, else the value itself."""
+    steps = " ".join(f"WHEN json_type({j}) = 'OBJECT' AND json_exists({j}, '$.{k}') THEN json_extract({j}, '$.{k}')" for k in keys)
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' THEN TRY_CAST(json_extract_string({j}, '$') AS JSON) WHEN json_type({j}) = 'OBJECT' AND {_present(j, _KEYS)} THEN {j} {steps} ELSE {j} END"
+
+
+def _items(j: str) -> str:
+    return f"CASE WHEN json_type({j}) = 'ARRAY' THEN CAST({j} AS JSON[]) WHEN {j} IS NULL THEN [] ELSE [{j}] END"
+
+
+def _elements(source: str, field: str, parent: str, key: str) -> str:
+    """Rows (raw_id, record_pos, parent_pos, item_pos, x, value) of the elements of a list field of ``source``'s x."""
+    value = f"CASE WHEN json_type(x) = 'OBJECT' THEN CASE WHEN json_type(x, '$.{key}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(x, '$.{key}') END WHEN json_type(x) <> 'ARRAY' THEN json_extract_string(x, '$') END"
+    return f"SELECT raw_id, record_pos, parent_pos, item_pos, x, {value} AS value FROM (SELECT raw_id, record_pos, {parent} AS parent_pos, item_pos, l[item_pos + 1] AS x FROM (SELECT raw_id, record_pos, {'item_pos AS holder' if parent != '-1' else '-1 AS holder'}, l, unnest(range(len(l))) AS item_pos FROM (SELECT *, {_items(f"json_extract(x, '$.{field}')")} AS l FROM {source} WHERE json_type(x) = 'OBJECT')))"
+
+
+SHRED = f"""p0 AS (SELECT DISTINCT raw_id, TRY_CAST(payload AS JSON) AS j FROM raw_records WHERE trim(coalesce(payload, '')) <> ''), p1 AS (SELECT raw_id, {_unwrapped('j', _WRAPS)} AS j FROM p0 WHERE j IS NOT NULL), p2 AS (SELECT raw_id, {_unwrapped('j', _WRAPS)} AS j FROM p1), p3 AS (SELECT raw_id, {_unwrapped('j', _WRAPS)} AS j FROM p2), p4 AS (SELECT raw_id, {_unwrapped('j', _WRAPS)} AS j FROM p3),
+ r0 AS (SELECT raw_id, l, unnest(range(len(l))) AS record_pos FROM (SELECT raw_id, {_items('j')} AS l FROM p4 WHERE json_type(j) IN ('ARRAY', 'OBJECT'))), r1 AS (SELECT raw_id, record_pos, l[record_pos + 1] AS x FROM r0), r2 AS (SELECT raw_id, record_pos, {_unwrapped('x', _WRAPS[4:])} AS x FROM r1), recs AS (SELECT raw_id, record_pos, {_unwrapped('x', _WRAPS[4:])} AS x FROM r2),
+ creators_ AS ({_elements('recs', 'creators', '-1', 'name')}), related_ AS ({_elements('recs', 'relatedIdentifiers', '-1', 'relatedIdentifier')}), places_ AS ({_elements('creators_', 'affiliation', 'holder', 'name')}), ids_ AS ({_elements('creators_', 'nameIdentifiers', 'holder', 'nameIdentifier')})"""
+_FILLED = f"regexp_matches(coalesce(value, ''), '[^{S.SPACE[1:-2]}]')"
+
 WIDE = "".join(chr(c) for c in range(0xFF21, 0xFF5B)), "".join(chr(c - 0xFEE0) for c in range(0xFF21, 0xFF5B))
 
 
@@ -106,6 +135,11 @@ def all_sql() -> dict[str, str]:
  dd AS (SELECT record_id, string_agg(DISTINCT d, ';' ORDER BY d) AS dates FROM days GROUP BY 1)
  SELECT s.doc_id, CAST(s.sample_no AS INT) AS sample_idx, CAST(coalesce(people.n, 0) AS INT) AS n_creators, CAST(coalesce(n.n, 0) AS INT) AS n_contributors, CAST(coalesce(ks.n, 0) AS INT) AS n_subjects, coalesce(dd.dates, '') AS dates, coalesce(rel.next_doi, '') AS related, coalesce(nullif(regexp_extract(CASE WHEN instr(d.text, 'Additional information') > 0 THEN d.text[instr(d.text, 'Additional information') + 22:] ELSE '' END, '(?i)publi[\\p{{L}}\\p{{N}}_]*[^.\\n]{{0,80}}?\\b((?:19|20)\\d{{2}})\\b', 1), ''), '2026') AS year
  FROM samples s JOIN docs d USING (doc_id) LEFT JOIN people USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN ks USING (record_id) LEFT JOIN dd USING (record_id) LEFT JOIN rel USING (record_id)""",
+        "p3_found": f"WITH {SHRED} " + " UNION ALL ".join(f"SELECT raw_id, CAST(record_pos AS BIGINT) AS record_pos, '{kind}' AS kind, CAST(parent_pos AS BIGINT) AS parent_pos, CAST(item_pos AS BIGINT) AS item_pos FROM {t} WHERE {_FILLED}" for kind, t in (("creator", "creators_"), ("affiliation", "places_"), ("nameidentifier", "ids_"), ("relatedidentifier", "related_"))),
+        "p3_affiliations": f"WITH {SHRED} SELECT raw_id, CAST(record_pos AS BIGINT) AS record_pos, CAST(parent_pos AS BIGINT) AS parent_pos, CAST(item_pos AS BIGINT) AS item_pos, value AS name, " + ", ".join(f"CASE WHEN json_type(x) = 'OBJECT' AND json_type(x, '$.{k}') NOT IN ('OBJECT', 'ARRAY') THEN json_extract_string(x, '$.{k}') END AS {k.lower()}" for k in ("affiliationIdentifier", "affiliationIdentifierScheme", "schemeURI")) + f" FROM places_ WHERE {_FILLED}",
+        "recovered_orcids": f"""WITH {S.DOCS}, t AS (SELECT doc_id, text, regexp_replace({S.strip('text')}, '{S.SPACE}', ' ', 'g') AS plain FROM docs), nm AS (SELECT DISTINCT doc_id, plain, unnest(regexp_extract_all(text, '([A-Z][a-z]+) \\([A-Z][a-z]+, ORCID', 1)) AS name FROM t), ns AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) - 1 AS idx, lower(name) AS nm, string_split(lower(plain), lower(name)) AS parts FROM nm),
+ st AS (SELECT doc_id, idx, nm, plain, unnest({starts}) AS s FROM ns), w AS (SELECT a.doc_id, a.idx, a.plain, a.s, a.s + length(a.nm) AS b, min(o.s) FILTER (o.s >= a.s + length(a.nm)) AS nxt FROM st a LEFT JOIN st o ON o.doc_id = a.doc_id AND o.nm <> a.nm GROUP BY ALL),
+ c AS (SELECT doc_id, idx, s, regexp_extract(plain[b + 1:least(b + 80, coalesce(nxt, b + 80))], '{P.ORCID}') AS orcid FROM w) SELECT doc_id, CAST(idx AS INT) AS person_idx, arg_min(orcid, s) AS orcid FROM c WHERE orcid <> '' GROUP BY 1, 2""",
         "role_near_name": f"WITH {S.DOCS}, r AS (SELECT doc_id, text, regexp_extract(text, '[A-Z][a-z]+ \\(([A-Z][a-z]+),', 1) AS role FROM docs), rs AS (SELECT DISTINCT doc_id, text, role, unnest(regexp_extract_all(text, '([A-Z][a-z]+) \\(', 1)) AS family FROM r WHERE role <> ''), {near_cte('rs')} SELECT doc_id, family, role, near FROM nr",
         "form_fields": "WITH w AS (SELECT *, CASE WHEN l_partkey % 5 < 2 THEN 'Tx' WHEN l_partkey % 5 = 2 THEN 'Ch' ELSE 'Btn' END AS kind, CASE WHEN l_partkey % 2 = 0 THEN l_linestatus || ' ' || l_returnflag WHEN l_partkey % 11 = 0 THEN 'inherited' ELSE '' END AS value FROM lineitem), t AS (SELECT l_orderkey AS doc_id, CASE WHEN kind <> 'Btn' THEN trim(regexp_replace(value, '\\s+', ' ', 'g')) WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 4 >= 2 THEN '[x]' ELSE '[ ]' END AS text FROM w) SELECT doc_id, text, count(*) AS n FROM t WHERE text <> '' GROUP BY ALL",
         "free_gaps": "WITH w AS (SELECT l_orderkey, CAST(l_linenumber * 40 AS DOUBLE) AS x0, CAST(l_linenumber * 40 + 30 + l_partkey % 20 AS DOUBLE) AS x1 FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, -1.0, 0.0 FROM lineitem UNION ALL SELECT DISTINCT l_orderkey, 400.0, 401.0 FROM lineitem), r AS (SELECT l_orderkey, max(x1) OVER (PARTITION BY l_orderkey ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS a, lead(x0) OVER (PARTITION BY l_orderkey ORDER BY x0, x1) AS b FROM w) SELECT l_orderkey, greatest(a, 0.0) AS a, least(b, 400.0) AS b FROM r WHERE least(b, 400.0) - greatest(a, 0.0) >= 6",
