@@ -3,16 +3,16 @@
 Three character n-gram models share one form: counts of n-grams up to ORDER characters, hashed into
 CELLS cells, with each order's estimate backing off to the next shorter one. Two are fitted on seed
 phrases spelt out by rule below (template slots, filler and form instructions; error pages, session
-messages and script notices), the third on natural prose: a bounded sample of the rows at hand. As that sample holds residue too, it is cleaned: a
+messages and script notices), the third on natural prose: all distinct texts of the rows at hand, whole. As they hold residue too, they are cleaned: a
 first fit, from which rare n-grams that the seeds hold too are left out, finds the clear cases; they
-leave the sample and prose is fitted again, and so once more.
+are left out and prose is fitted again, and so once more.
 
 A row's characters get the log-likelihood ratios of the two residue models against prose. Windows of
 residue are the maximal runs whose cumulated ratio reaches LEAST_RATIO and that cover WORD_COVERAGE of
 the words they touch. A row is excluded by coverage: if its windows cover at least LEAST_COVERAGE of the
 text, or, so that real content around it doesn't hide it, the words around a window of CERTAIN_RATIO.
 
-Scale: counting and cleaning run in tasks over the sample, whose counts are summed before they reach
+Scale: counting and cleaning run in tasks over the distinct texts, whose counts are summed before they reach
 the driver (at most CELLS numbers a table); rows are scored where they are read.
 
 Defined results: null and blank texts have no windows and are never cases; a row repeated with the
@@ -33,17 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithoflow.session import materialise, spread
+from lithoflow.session import drop, materialise, spread
 
 ORDER, CELLS = 6, 1 << 21
-#: Distinct texts of the bounded sample that the prose model is fitted on, and the most characters of each.
+#: Characters that are counted or scored at once.
+AT_ONCE = 300_000
+#: Counts over more texts are scaled down to so many: the seeds' counts and the models' smoothing don't grow with the table.
+#: Of longer n-grams whole counts are taken, else strangers that share a cell would lend each other likelihood.
+UNIT_ROWS = 30_000
+#: Distinct texts of a bounded sample, for trials, and the most characters of each. find() takes none.
 SAMPLE_ROWS, SAMPLE_CHARS = 30_000, 4_000
 LEAST_RATIO, LEAST_COVERAGE = 7.0, 0.5
 #: A window counts if it covers that share of the words it touches; one of this ratio excludes its row.
 CERTAIN_RATIO, WORD_COVERAGE = 8.0, 0.7
-#: Of n-grams that the residue seeds hold, the first fit takes a share RARE[0] of the sample's rows off the
+#: Of n-grams that the residue seeds hold, the first fit takes a share RARE[0] of the texts off the
 #: prose counts, later ones RARE[1]: residue is rarer. Each fit's rows with a window of the next of
-#: CLEAN_RATIOS leave the sample.
+#: CLEAN_RATIOS are left out.
 RARE, CLEAN_RATIOS = (0.0014, 0.0005), (9.0, 7.0)
 #: Bounds of one character's ratio; signs tell more than letters, which names spell in any order.
 LOW, HIGH, SIGN_HIGH = -3.0, 3.0, 5.0
@@ -121,16 +126,31 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _signs(texts: list[str]) -> np.ndarray:
     """Which characters of the joined texts, as grams() has them, are neither letter, digit nor blank."""
-    return np.frombuffer(bytes(not (c.isalnum() or c.isspace()) for c in "\n" + "\n".join(texts)), np.uint8).astype(bool)
+    return _sign_table()[np.frombuffer(("\n" + "\n".join(texts)).encode("utf-32-le", "replace"), np.uint32)]
+
+
+@lru_cache(1)
+def _sign_table() -> np.ndarray:
+    return np.fromiter((not (c.isalnum() or c.isspace()) for c in map(chr, range(0x110000))), bool, 0x110000)
+
+
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in lists of about AT_ONCE characters."""
+    lo, size = 0, 0
+    for hi in range(len(texts)):
+        size += len(texts[hi])
+        if size > AT_ONCE or hi == len(texts) - 1:
+            yield texts[lo : hi + 1]
+            lo, size = hi + 1, 0
 
 
 def count(texts: list[str], into: np.ndarray, one: np.ndarray | None = None) -> None:
     """Adds the texts' n-grams to ``into``, single characters to ``one`` where it is given."""
-    for lo in range(0, len(texts), 2000):
-        cells, _ = grams(texts[lo : lo + 2000])
-        into += np.bincount(cells[one is not None :].ravel(), minlength=CELLS).astype(np.float32)
+    for part in _together(texts):
+        cells, _ = grams(part)
+        into += np.bincount(cells[one is not None :].ravel(), minlength=CELLS).astype(into.dtype)
         if one is not None:
-            one += np.bincount(cells[0], minlength=CELLS).astype(np.float32)
+            one += np.bincount(cells[0], minlength=CELLS).astype(one.dtype)
 
 
 class Model:
@@ -209,21 +229,20 @@ def seed_counts() -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the template, error and prose models. texts: (t), the folded texts of sample()."""
+    """Counts of the template, error and prose models. texts: (t), distinct folded texts."""
     sc = texts.sparkSession.sparkContext
     template, error = seed_counts()
     seeds = sc.broadcast((template, error))
     rows = texts.count()
+    scale = np.float32(min(1.0, UNIT_ROWS / max(rows, 1)))
 
     def counts(prose, most: float) -> list[np.ndarray]:
         """Counts over the texts without a window of ``most``: of several characters, of single ones."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = [np.zeros(CELLS, np.float32) for _ in range(2)]
+            tables = [np.zeros(CELLS, np.int64) for _ in range(2)]
             for batch in batches:
-                lines = batch.column(0).to_pylist()
-                for lo in range(0, len(lines), 2000):
-                    part = lines[lo : lo + 2000]
+                for part in _together(batch.column(0).to_pylist()):
                     if prose is not None:
                         part = [t for t, m in zip(part, windows(part, (*seeds.value, prose.value))) if m[0] < most]
                     if part:
@@ -232,7 +251,9 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 cells = np.nonzero(table)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), kind, np.int32)), pa.array(cells.astype(np.int32)), pa.array(table[cells])], names=["kind", "cell", "n"])
 
-        summed = texts.select("t").mapInArrow(run, "kind int, cell int, n float").groupBy("kind", "cell").agg(F.sum("n").cast("float").alias("n")).toArrow()
+        table = materialise(texts.select("t").mapInArrow(run, "kind int, cell int, n bigint").groupBy("kind", "cell").agg(F.sum("n").cast("float").alias("n")))
+        summed = table.toArrow()
+        drop(table)
         out = [np.zeros(CELLS, np.float32) for _ in range(2)]
         kinds, cells, n = (summed.column(c).to_numpy() for c in range(3))
         for kind, table in enumerate(out):
@@ -240,29 +261,37 @@ def fit(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return out
 
     shared = template + error > 0
-    clean = lambda several, one, rare: one + np.maximum(several - rare * rows * shared, 0).astype(np.float32)
+    clean = lambda several, one, rare: scale * one + np.rint(scale * np.maximum(several - rare * rows * shared, 0)).astype(np.float32)
     prose = clean(*counts(None, 0.0), RARE[0])
     for most in CLEAN_RATIOS:
         prose = clean(*counts(sc.broadcast(prose), most), RARE[1])
     return template, error, prose
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column(0).to_pylist()], pa.string())], names=["t"])
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(t): every distinct folded text of the rows (.., text), whole, each once; in few parts, as each
+    makes a table of counts."""
+    parts = min(max(2, rows.sparkSession.sparkContext.defaultParallelism), 64)
+    return spread(rows.select("text")).mapInArrow(_folded, "t string").where("t <> ''").repartition(parts, "t").distinct()
+
+
 def sample(df: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(t): at most ``rows`` distinct folded texts, those of the smallest hash: a bounded sample for
-    fit(). However often a text is repeated, it takes one place. Texts of more than SAMPLE_CHARS
-    characters are sampled by a stretch of that length, at a place that their hash tells. Only hashes
+    trials with fit(); find() fits on all texts. However often a text is repeated, it takes one place. Texts of more than
+    SAMPLE_CHARS characters are sampled by a stretch of that length, at a place that their hash tells. Only hashes
     are shuffled to find the sample's bound."""
 
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([fold(t) for t in batch.column(0).to_pylist()], pa.string())], names=["t"])
-
     plain = F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(F.col(text).cast("string"), r"\s+", " ")), r"\d+", "0"), "[\u00ad\u200b-\u200f\ufeff]", ""))
     part = df.where(F.col(text).isNotNull()).select(plain.alias("t")).where("t <> ''").select("t", F.xxhash64("t").alias("h"))
     bound = part.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     start = F.pmod(F.col("h"), F.greatest(F.length("t") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
     chosen = part.where(F.col("h") <= F.lit(bound)).dropDuplicates(["h"]) if bound is not None else part.limit(0)
-    return chosen.select(F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t")).mapInArrow(folded, "t string").where("t <> ''").distinct()
+    return chosen.select(F.substring("t", start, F.lit(SAMPLE_CHARS)).alias("t")).mapInArrow(_folded, "t string").where("t <> ''").distinct()
 
 
 def find(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
@@ -275,20 +304,15 @@ def find(sources: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
         part = df.select(F.lit(name).alias("source_table"), F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]"))
         rows = part if rows is None else rows.unionByName(part)
     spark = rows.sparkSession
-    cores = max(2, spark.sparkContext.defaultParallelism)
-    models = fit(materialise(sample(rows, "text").repartition(min(cores, 64))))
+    texts = materialise(distinct_texts(rows))
+    models = fit(texts)
+    drop(texts)
     shared = spark.sparkContext.broadcast(models)  # 3 x CELLS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            marks: list[tuple[float, float, float]] = []
-            lo, size = 0, 0
-            for hi in range(len(texts)):
-                size += len(texts[hi])
-                if size > 300_000 or hi == len(texts) - 1:
-                    marks += windows([fold(t) for t in texts[lo : hi + 1]], shared.value)
-                    lo, size = hi + 1, 0
+            marks = [m for part in _together(texts) for m in windows([fold(t) for t in part], shared.value)]
             found = list(zip(*marks)) or [(), (), ()]
             scored = pa.table([batch.column(0), batch.column(1), *(pa.array(c, pa.float64()) for c in found)], names=["source_table", "row_id", "ratio", "coverage", "word_coverage"])
             yield from scored.to_batches()

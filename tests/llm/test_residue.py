@@ -62,3 +62,12 @@ def test_sample_takes_each_text_once(spark):
     got = [r[0] for r in residue.sample(spark.createDataFrame(rows, "t string"), "t", 22).collect()]
     assert len(got) == len(set(got)) == 22 and got.count("the same text.") == 1
     assert max(map(len, got)) == residue.SAMPLE_CHARS
+
+
+def test_models_are_fitted_on_all_texts_whole(spark, monkeypatch):
+    texts = [f"Sample {chr(97 + k % 26)}{chr(97 + k // 26)} is coarse." for k in range(300)] + ["The same  text.", "the SAME text."] * 3 + ["A long text. " * 1000]
+    seen, inner = [], residue.fit
+    monkeypatch.setattr(residue, "fit", lambda t: (seen.extend(r["t"] for r in t.collect()), inner(t))[1])
+    df = spark.createDataFrame(list(enumerate(texts)) + [(9000, None), (9001, " ")], "title_id bigint, title string")
+    residue.find([("titles", df, "title_id", "title")]).count()
+    assert sorted(seen) == sorted({residue.fold(t) for t in texts}) and max(map(len, seen)) > 10_000
